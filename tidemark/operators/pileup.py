@@ -88,7 +88,7 @@ def local_lambda(windows: list[tuple[DataFrame, float]], floor: float) -> DataFr
         return next(iter(tracks.values()))
     cells = align(tracks, how="outer")
     values = [F.coalesce(F.col(n), F.lit(float(floor))) for n in tracks]
-    return rle(cells.select("chrom", "start", "end", F.greatest(*values).alias("value")))
+    return rle(cells.select("chrom", "start", "end", F.round(F.greatest(*values), 9).alias("value")))
 
 
 def weighted_by_length(frags: DataFrame, weights: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
