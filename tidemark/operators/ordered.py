@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.tables import stage
+
 #: Axis units per shard. A task holds at most one shard's rows of a key; shard summaries meet per key.
 SHARD = 1 << 16
 
@@ -32,7 +34,8 @@ def along(
     sums, lags, leads, reach, fills = sums or {}, lags or {}, leads or {}, reach or {}, fills or {}
     order = [pos, *(ties or [])]
     ins = {f"_in_{n}": c for part in (sums, lags, leads, reach, fills) for n, c in part.items()}
-    base = df.select("*", F.floor(F.col(pos) / shard).cast("long").alias("_s"), *(c.alias(n) for n, c in ins.items())).repartition(*keys, "_s")
+    # A written table: both the shard summaries (folded before they move) and the windows read it, and the plan stays linear.
+    base = stage(df.select("*", F.floor(F.col(pos) / shard).cast("long").alias("_s"), *(c.alias(n) for n, c in ins.items())), "along")
     w = Window.partitionBy(*keys, "_s").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +48,7 @@ def along(
     totals += [F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), spot)).alias(f"_t_{n}") for n in fills]
     wk = Window.partitionBy(*keys).orderBy("_s")
     prior = wk.rowsBetween(Window.unboundedPreceding, -1)
-    summary = base.groupBy(*keys, "_s").agg(*totals)
+    summary = base.groupBy(*keys, "_s").agg(*(totals or [F.count("*").alias("_n")]))
     carry = [F.sum(f"_t_{n}").over(prior).alias(f"_c_{n}") for n in sums] + [F.max(f"_t_{n}").over(prior).alias(f"_c_{n}") for n in reach]
     carry += [F.lag(f"_t_{n}").over(wk).alias(f"_c_{n}") for n in lags] + [F.lead(f"_t_{n}").over(wk).alias(f"_c_{n}") for n in leads]
     carry += [F.last(f"_t_{n}", True).over(prior).alias(f"_c_{n}") for n in fills]

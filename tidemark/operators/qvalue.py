@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
+from tidemark.plans.tables import stage
 
 #: Scores are compared as whole numbers of this unit.
 UNIT = 100_000
@@ -18,7 +19,7 @@ def scored(df: DataFrame, pseudocount: float = 0.0, treat: str = "treat", ctrl:
     the costly part.
     """
     k, lam = (F.col(treat) + pseudocount).cast("long"), F.col(ctrl) + pseudocount
-    base = df.withColumn("_k", k).withColumn("_lam", lam)
+    base = stage(df.withColumn("_k", k).withColumn("_lam", lam), "scored-cells")
     pairs = base.select("_k", "_lam").where("_k is not null and _lam is not null").distinct().withColumn("pscore", stats.pscore(F.col("_k"), F.col("_lam")))
     return base.join(pairs, ["_k", "_lam"], "left").drop("_k", "_lam")
 
@@ -42,5 +43,6 @@ def table(df: DataFrame, column: str = "pscore") -> DataFrame:
 
 def with_qscore(df: DataFrame, column: str = "pscore", lookup: DataFrame | None = None) -> DataFrame:
     """``df`` with ``qscore`` looked up by its p-score."""
+    df = df if lookup is not None else stage(df, "cells-with-pscore")
     t = (lookup if lookup is not None else table(df, column)).select("_u", F.col("q").alias("qscore"))
     return df.withColumn("_u", F.round(F.col(column) * UNIT).cast("long")).join(t, "_u", "left").drop("_u")

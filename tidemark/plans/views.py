@@ -77,16 +77,17 @@ def sql_pileup(name: str, src: str, w: str = "1", value: str = "v", where: str =
     """CTEs that define ``name(chrom, s, e, v)`` from ``src(chrom, l, r)``; ``value`` maps the raw sum v."""
     return f"""{name}_e AS (SELECT chrom, p, sum(d) AS d FROM (SELECT chrom, l AS p, {w} AS d FROM {src} WHERE r > l AND {where} UNION ALL SELECT chrom, r, -({w}) FROM {src} WHERE r > l AND {where}) GROUP BY chrom, p HAVING sum(d) <> 0),
 {name}_c AS (SELECT chrom, p AS s, lead(p) OVER o AS e, sum(d) OVER o AS v FROM {name}_e WINDOW o AS (PARTITION BY chrom ORDER BY p)),
-{name} AS (SELECT chrom, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST({value} AS DOUBLE) AS v FROM (SELECT chrom, s, e, v FROM {name}_c WHERE e IS NOT NULL UNION ALL SELECT chrom, 0, min(s), 0 FROM {name}_c GROUP BY chrom HAVING min(s) > 0))"""
+{name} AS MATERIALIZED (SELECT chrom, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST({value} AS DOUBLE) AS v FROM (SELECT chrom, s, e, v FROM {name}_c WHERE e IS NOT NULL UNION ALL SELECT chrom, 0, min(s), 0 FROM {name}_c GROUP BY chrom HAVING min(s) > 0))"""
 
 
 def sql_align(name: str, tracks: list[str]) -> str:
     """CTEs that define ``name(chrom, s, e, v0, v1, ...)`` over cells that all tracks cover."""
     ends = " UNION ".join(f"SELECT chrom, s AS p FROM {t} UNION SELECT chrom, e FROM {t}" for t in tracks)
-    joins = " ".join(f"JOIN {t} AS j{i} ON j{i}.chrom = c.chrom AND j{i}.s <= c.s AND j{i}.e >= c.e" for i, t in enumerate(tracks))
+    joins = " ".join(f"ASOF JOIN {t} AS j{i} ON c.chrom = j{i}.chrom AND c.s >= j{i}.s" for i, t in enumerate(tracks))
+    inside = " AND ".join(f"j{i}.e >= c.e" for i in range(len(tracks)))
     values = ", ".join(f"j{i}.v AS v{i}" for i in range(len(tracks)))
-    return f"""{name}_p AS ({ends}), {name}_c AS (SELECT chrom, p AS s, lead(p) OVER (PARTITION BY chrom ORDER BY p) AS e FROM {name}_p),
-{name} AS (SELECT c.chrom, c.s, c.e, {values} FROM {name}_c AS c {joins})"""
+    return f"""{name}_p AS ({ends}), {name}_c AS MATERIALIZED (SELECT chrom, p AS s, lead(p) OVER (PARTITION BY chrom ORDER BY p) AS e FROM {name}_p),
+{name} AS MATERIALIZED (SELECT c.chrom, c.s, c.e, {values} FROM {name}_c AS c {joins} WHERE {inside})"""
 
 
 def sql_rle(name: str, src: str) -> str:
@@ -99,7 +100,7 @@ def sql_rle(name: str, src: str) -> str:
 def sql_islands(name: str, src: str, gap: int = 0, keys: str = "chrom") -> str:
     """CTEs that number the islands ``g`` of ``src(keys, s, e, ...)``."""
     return f"""{name}_r AS (SELECT *, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {src}),
-{name} AS (SELECT *, sum(CASE WHEN s - reach <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {name}_r)"""
+{name} AS MATERIALIZED (SELECT *, sum(CASE WHEN s - reach <= {gap} THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {name}_r)"""
 
 
 def sql_summits(name: str, src: str, v: str = "v", more: str = "", keys: str = "chrom") -> str:
