@@ -20,26 +20,33 @@ def lgamma(x: Column) -> Column:
     return series - reduce(lambda a, b: a + b, [F.log(x + float(k)) for k in range(8)])
 
 
-def poisson_log10_sf(k: Column, lam: Column) -> Column:
+def poisson_log10_sf(k: Column, lam: Column, stop: float = 0.0) -> Column:
     """log10 P(X > k): the largest term in log space times the sum of its neighbours' ratios, to both sides.
 
-    Null where lam is not positive. For negative k the probability is 1.
+    With ``stop`` the upward sum ends with the first term that raises the logarithm by less than it. Null where lam is
+    not positive. For negative k the probability is 1.
     """
     lam = lam.cast("double")
     k = k.cast("long")
     top = F.greatest(k + 1, F.floor(lam)).cast("long")
     n = F.least(F.ceil(12 * F.sqrt(F.greatest(lam, F.lit(1.0)))) + 60, F.lit(100_000)).cast("int")
     zero = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
-    up = F.aggregate(F.sequence(F.lit(1), n), zero, lambda a, i: F.struct((a["t"] * lam / (top + i)).alias("t"), (a["s"] + a["t"] * lam / (top + i)).alias("s")), lambda a: a["s"])
     m = F.least(n.cast("long"), top - k - 1).cast("int")
     down = F.when(m > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), zero, lambda a, i: F.struct((a["t"] * (top - i + 1) / lam).alias("t"), (a["s"] + a["t"] * (top - i + 1) / lam).alias("s")), lambda a: a["s"])).otherwise(0.0)
-    value = (top * F.log(lam) - lam - lgamma(top + 1.0)) * LOG10_E + F.log10(1 + up + down)
+    base = F.struct(F.lit(1.0).alias("t"), (1 + down).alias("s"), F.lit(False).alias("done"))
+
+    def further(a, i):
+        t = a["t"] * lam / (top + i)
+        return F.when(a["done"], a).otherwise(F.struct(t.alias("t"), (a["s"] + t).alias("s"), (F.log1p(t / a["s"]) < stop).alias("done")))
+
+    total = F.aggregate(F.sequence(F.lit(1), n), base, further, lambda a: a["s"])
+    value = (top * F.log(lam) - lam - lgamma(top + 1.0)) * LOG10_E + F.log10(total)
     return F.when(lam > 0, F.when(k < 0, F.lit(0.0)).otherwise(F.least(value, F.lit(0.0))))
 
 
 def pscore(treat: Column, lam: Column) -> Column:
-    """-log10 of the upper Poisson tail above trunc(treat), rounded to 5 decimals."""
-    return F.round(-poisson_log10_sf(treat.cast("long"), lam) + F.lit(0.0), 5)
+    """-log10 of the upper Poisson tail above trunc(treat), to 5 decimals; terms below 1e-5 of the logarithm end the sum."""
+    return F.round(-poisson_log10_sf(treat.cast("long"), lam, 1e-5) + F.lit(0.0), 5)
 
 
 def poisson_log10_pmf(k: Column, lam: Column) -> Column:

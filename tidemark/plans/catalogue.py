@@ -141,9 +141,11 @@ _add("step_median_by_length", lambda s, d: step.median_by_length(V.signal_a(s, d
 SELECT chrom, min(v) AS median FROM w WHERE c >= ceil(0.5 * n) GROUP BY chrom""")
 
 # Scores.
-_PSF = "-log10(list_sum(list_transform(range(CAST(k AS BIGINT) + 1, CAST(k AS BIGINT) + 401), lambda j: exp(j * ln(lam) - lam - lgamma(j + 1)))))"
+# Terms of the tail from k + 1 up, and how many of them count: the first to raise the logarithm by less than 1e-5 is the last.
+_TERMS = "list_transform(range(CAST(k AS BIGINT) + 1, CAST(k AS BIGINT) + 201), lambda j: exp(j * ln(lam) - lam - lgamma(j + 1)))"
+_PSF = "-log10(list_sum(x[1:list_filter(range(2, 201), lambda i: x[i] < (exp(1e-5) - 1) * list_sum(x[1:i - 1]))[1]]))"
 _SCORES = {
-    "pois": ("p", f"round((SELECT {_PSF} FROM (SELECT trunc(v0 + 1) AS k, v1 + 1 AS lam)), 4)"),
+    "pois": ("p", ""),
     "fe": ("F", "round((v0 + 1) / (v1 + 1), 4)"),
     "logfe": ("f", "round(log10((v0 + 1) / (v1 + 1)), 4)"),
     "loglr": ("l", "round(CASE WHEN v0 > v1 THEN ((v0+1) * ln((v0+1) / (v1+1)) + v1 - v0) / ln(10) WHEN v0 < v1 THEN -((v0+1) * ln((v0+1) / (v1+1)) + v1 - v0) / ln(10) ELSE 0 END, 4)"),
@@ -160,7 +162,7 @@ for _name, (_letter, _expr) in _SCORES.items():
         lambda s, d, m=_letter: _cells(s, d).select("chrom", "start", "end", _r(scores.score(m, F.col("treat"), F.col("ctrl"), 1.0, treat_depth=2.5), 4).alias("score")),
         f"{_AB} SELECT {_SEG}, {_expr} AS score FROM x",
     )
-_P = f"{_AB}, k AS (SELECT *, trunc(v0 + 1) AS k, v1 + 1 AS lam FROM x), dk AS (SELECT DISTINCT k, lam FROM k), pk AS (SELECT k, lam, round({_PSF}, 5) AS p FROM dk), p AS (SELECT k.chrom, k.s, k.e, v0, v1, p FROM k JOIN pk USING (k, lam))"
+_P = f"{_AB}, k AS (SELECT *, trunc(v0 + 1) AS k, v1 + 1 AS lam FROM x), dk AS (SELECT DISTINCT k, lam FROM k), tk AS (SELECT k, lam, {_TERMS} AS x FROM dk), pk AS (SELECT k, lam, round({_PSF}, 5) AS p FROM tk), p AS (SELECT k.chrom, k.s, k.e, v0, v1, p FROM k JOIN pk USING (k, lam))"
 _scored = lambda s, d: qvalue.scored(_cells(s, d), 1.0)
 _add("score_pois", lambda s, d: _scored(s, d).select("chrom", "start", "end", _r(F.col("pscore"), 5).alias("score")), f"{_P} SELECT {_SEG}, round(p, 5) AS score FROM p")
 _Q = f"""{_P}, h AS (SELECT p, sum(e - s) AS n FROM p GROUP BY p), c AS (SELECT p, n, 1 + coalesce(sum(n) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k, sum(n) OVER () AS t FROM h),
