@@ -178,17 +178,25 @@ class StateModel:
 
 def train_states(x: np.ndarray, lengths: list[int], kind: str = "gaussian", states: int = 3, rounds: int = 100, tol: float = 1e-2, seed: int = 12345) -> StateModel:
     """Baum-Welch on sequences laid end to end (a bounded training sample), started from k-means of the bins."""
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), states, replace=False)].astype(float)
-    for _ in range(50):
-        own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
-        new = np.array([x[own == k].mean(0) if (own == k).any() else centres[k] for k in range(states)])
-        if np.allclose(new, centres):
-            break
-        centres = new
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(10):  # several starts, each centre drawn far from those before
+        centres = x[[rng.integers(len(x))]].astype(float)
+        while len(centres) < states:
+            far = ((x[:, None] - centres) ** 2).sum(2).min(1)
+            centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
+        for _ in range(50):
+            own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+            new = np.array([x[own == k].mean(0) if (own == k).any() else centres[k] for k in range(states)])
+            if np.allclose(new, centres):
+                break
+            centres = new
+        spread = ((x - centres[own]) ** 2).sum()
+        if best is None or spread < best[0]:
+            best = (spread, centres, own)
+    _, centres, own = best
     eye = np.eye(x.shape[1]) * 1e-3
-    base = np.cov(x.T).reshape(x.shape[1], -1) + eye
-    m = StateModel(kind, np.full(states, 1 / states), np.full((states, states), 1 / states), centres, None if kind == "poisson" else np.repeat(base[None], states, 0))
+    covars = np.array([(np.cov(x[own == k].T).reshape(x.shape[1], -1) if (own == k).sum() > 1 else np.zeros_like(eye)) + eye for k in range(states)])
+    m = StateModel(kind, np.full(states, 1 / states), np.full((states, states), 1 / states), centres, None if kind == "poisson" else covars)
     ends, last = np.cumsum([0, *lengths]), -np.inf
     for _ in range(rounds):
         post, xi, first, like = np.empty((len(x), states)), np.zeros((states, states)), np.zeros(states), 0.0

@@ -24,7 +24,7 @@ def _sorted(df: DataFrame, value: Column, *more: str) -> DataFrame:
 def general(c: Column, digits: int = 6) -> Column:
     """A number to so many significant digits, without trailing zeros."""
     size = F.when(c == 0, 0).otherwise(F.floor(F.log10(F.abs(c))).cast("int"))
-    plain = F.rtrim(F.lit("0"), F.format_string("%.12f", F.round(c * F.pow(F.lit(10.0), F.lit(digits - 1) - size)) / F.pow(F.lit(10.0), F.lit(digits - 1) - size)))
+    plain = F.rtrim(F.format_string("%.12f", F.round(c * F.pow(F.lit(10.0), F.lit(digits - 1) - size)) / F.pow(F.lit(10.0), F.lit(digits - 1) - size)), F.lit("0"))
     mant = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits - 1}e", c), "\\.?0+e", "e"), "e([+-])(\\d)$", "e$10$2")
     return F.when((c != 0) & ((size < -5 + 1) | (size >= digits)), mant).otherwise(F.regexp_replace(plain, "\\.$", ""))
 
