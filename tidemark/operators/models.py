@@ -92,7 +92,7 @@ def mixture(frags: DataFrame, means=(50, 200, 400, 600), stddevs=(20, 20, 20, 20
         mu, sd, w = new_mu, new_sd, new_w
         if moved < epsilon:
             break
-    return [round(v, 1) for v in (means[0], *mu)], [round(v, 1) for v in (stddevs[0], *sd)]
+    return [round(float(v), 1) for v in (means[0], *mu)], [round(float(v), 1) for v in (stddevs[0], *sd)]
 
 
 CLASSES = ["short", "mono", "di", "tri"]
@@ -129,7 +129,7 @@ class StateModel:
 
     def log_emission(self, x: np.ndarray) -> np.ndarray:
         if self.kind == "poisson":
-            x = np.floor(x)
+            x = np.floor(np.maximum(x, 0))
             const = np.vectorize(math.lgamma)(x + 1).sum(1)
             lam = np.maximum(self.means, 1e-4)
             return x @ np.log(lam).T - lam.sum(1) - const[:, None]
@@ -206,7 +206,7 @@ def train_states(x: np.ndarray, lengths: list[int], kind: str = "gaussian", stat
             first += post[a]
             like += ll
         mass = post.sum(0)[:, None] + 1e-10
-        m.start, m.trans, m.means = first / first.sum(), xi / np.maximum(xi.sum(1, keepdims=True), 1e-300), post.T @ (np.floor(x) if kind == "poisson" else x) / mass
+        m.start, m.trans, m.means = first / first.sum(), xi / np.maximum(xi.sum(1, keepdims=True), 1e-300), post.T @ (np.floor(np.maximum(x, 0)) if kind == "poisson" else x) / mass
         if kind != "poisson":
             m.covars = np.array([((post[:, k, None] * (x - m.means[k])).T @ (x - m.means[k])) / mass[k] + eye for k in range(states)])
         if like - last < tol:

@@ -93,25 +93,37 @@ def subpeaks(signal: DataFrame, regions: DataFrame, min_length: int = 200, margi
     return pairs.groupBy("chrom", "b_start", "b_end").applyInPandas(one, "chrom string, start long, end long, summit long, score double")
 
 
-def balance(plus: np.ndarray, minus: np.ndarray, start: int, end: int, window: int) -> tuple[int, float]:
-    """Where forward tags lie left and reverse tags right: the first position of the greatest ``2 sqrt(Wl Cr) - Wr - Cl``."""
+def balance(plus: tuple[np.ndarray, np.ndarray], minus: tuple[np.ndarray, np.ndarray], start: int, end: int, window: int) -> tuple[int, float]:
+    """Where forward tags lie left and reverse tags right: the first position of the greatest ``2 sqrt(Wl Cr) - Wr - Cl``.
+
+    Each strand is (positions, counts).
+    """
     at = np.arange(start - window, end + window + 1)
-    plus, minus = np.sort(plus), np.sort(minus)
-    count = lambda x, a, b: np.searchsorted(x, b, "right") - np.searchsorted(x, a, "left")
-    wl, wr = count(plus, at - window, at - 1), count(plus, at, at + window)
-    cl, cr = count(minus, at - window, at - 1), count(minus, at, at + window)
+
+    def counter(spots, n):
+        order = np.argsort(spots, kind="stable")
+        spots, upto = spots[order], np.concatenate([[0], np.cumsum(n[order])])
+        return lambda a, b: upto[np.searchsorted(spots, b, "right")] - upto[np.searchsorted(spots, a, "left")]
+
+    w, c = counter(*plus), counter(*minus)
+    wl, wr, cl, cr = w(at - window, at - 1), w(at, at + window), c(at - window, at - 1), c(at, at + window)
     score = 2 * np.sqrt(wl * cr) - wr - cl
     k = int(np.argmax(score))
     return int(at[k]), float(score[k])
 
 
 def refine_by_balance(tags: DataFrame, regions: DataFrame, window: int = 200, cutoff: float = 5.0) -> DataFrame:
-    """``(chrom, name, summit, score)``: each region's balance point; the name ends in ``_R`` above the cutoff, else ``_F``."""
-    pairs = intervals.points_in_windows(tags, regions.select("chrom", "start", "end", "name"), 2 * window)
+    """``(chrom, name, summit, score)``: each region's balance point; the name ends in ``_R`` above the cutoff, else ``_F``.
+
+    Tags are folded to counts per position first, so what a region holds is bounded by its length.
+    """
+    folded = tags.groupBy("chrom", "pos", "strand").agg(F.count("*").alias("n"))
+    pairs = intervals.points_in_windows(folded, regions.select("chrom", "start", "end", "name"), 2 * window)
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         chrom, start, end, name = key
-        at, score = balance(pdf.loc[pdf["strand"] == 0, "pos"].to_numpy(), pdf.loc[pdf["strand"] == 1, "pos"].to_numpy(), int(start), int(end), window)
+        sides = [(x["pos"].to_numpy(), x["n"].to_numpy()) for x in (pdf[pdf["strand"] == 0], pdf[pdf["strand"] == 1])]
+        at, score = balance(*sides, int(start), int(end), window)
         return pd.DataFrame([{"chrom": chrom, "name": f"{name}_{'R' if score > cutoff else 'F'}", "summit": at, "score": score}])
 
     return pairs.groupBy("chrom", "b_start", "b_end", "b_name").applyInPandas(one, "chrom string, name string, summit long, score double")

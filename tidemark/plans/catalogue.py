@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores
-from tidemark.operators import coverage, intervals, peaks, pileup, qvalue, skew, step, tracks
+from tidemark.operators import coverage, intervals, models, peaks, pileup, qvalue, shapes, skew, step, tracks
+from tidemark.plans import commands
 from tidemark.plans import views as V
 from tidemark.plans.tables import table
 from tidemark.sources import export_lines
@@ -277,6 +278,33 @@ _add("weighted_percentiles", lambda s, d: skew.weighted_percentile(skew.value_fr
 _add("randsample_exact", lambda s, d: tracks.sample(V.fragments(s, d), ["chrom"], 0.25).groupBy("chrom").agg(F.count("*").alias("n")), f"WITH {V.FRAGS} SELECT chrom, CAST(floor(count(*) * 0.25) AS BIGINT) AS n FROM f GROUP BY chrom HAVING floor(count(*) * 0.25) > 0")
 
 
+# No SQL twin: array-shaped or fitted. Tests hold them against planted cases.
+_strong = lambda s, d: peaks.call(V.signal_a(s, d), 25.0, 5, 3).select("chrom", "start", "end")
+_add("subpeak_summits", lambda s, d: shapes.subpeaks(V.signal_a(s, d), _strong(s, d), 9))
+_add("wtd_refine", lambda s, d: shapes.refine_by_balance(V.tags_treat(s, d), _strong(s, d).withColumn("name", F.concat_ws("_", "chrom", "start")), 10, 5.0))
+
+
+def frag_em(spark: SparkSession, d: str) -> DataFrame:
+    means, stddevs = models.mixture(V.fragments(spark, d))
+    return spark.createDataFrame(list(zip(models.CLASSES, means, stddevs)), "class string, mean double, stddev double")
+
+
+_add("frag_em", frag_em)
+
+
+def hmm_states(spark: SparkSession, d: str) -> DataFrame:
+    """State runs of the cells' four fragment-length signals over their islands, by a given Poisson model."""
+    frags = V.fragments(spark, d).where("barcode is not null").select("chrom", "l", "r")
+    weights = models.length_weights(tracks.length_histogram(frags), [50, 200, 400, 600], [20, 20, 20, 20])
+    model = models.StateModel("poisson", [0.2, 0.3, 0.5], [[0.9, 0.08, 0.02], [0.05, 0.9, 0.05], [0.01, 0.04, 0.95]], [[2.0, 0.5, 0.2, 0.1], [0.5, 1.5, 0.4, 0.2], [0.1, 0.1, 0.05, 0.05]])
+    bins = models.bin_signals(models.digested(frags, weights), V.islands(spark, d), 10)
+    return models.state_runs(models.decode_states(bins, model), 10)
+
+
+_add("hmm_states", hmm_states)
+_add("callpeak_command", lambda s, d: commands.callpeak(V.fragments(s, d).where("barcode is not null").select("chrom", "l", "r"), V.fragments(s, d).where("barcode is null").select("chrom", "l", "r"), genome="hs", q=0.05, keep_dup="all", max_gap=50)["peaks"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_loaded": p5_loaded} | QUERIES
 
