@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores, stats
 from tidemark.operators import intervals, peaks, pileup, qvalue, step
-from tidemark.operators.ordered import along
+from tidemark.operators.ordered import along, islands
 
 SEG = "chrom string, start long, end long, value double"
 
@@ -57,6 +57,12 @@ def test_along_carries_across_shards(spark):
         assert got == [(0, 1, None, 5, 1, None), (5, 1, 0, 12, 1, 0), (12, 4, 5, 40, 3, 5), (40, 4, 12, 41, 3, 12), (41, 6, 40, None, 2, 40)]
 
 
+def test_islands_of_equal_rows(spark):
+    df = spark.createDataFrame([("a", s, e) for s, e in ((1, 3), (10, 12), (10, 12), (10, 12), (11, 20), (30, 31), (30, 31))], "k string, s long, e long")
+    got = islands(df, ["k"], "s", "e", shard=4).groupBy("island").agg(F.min("s"), F.max("e"), F.count("*")).orderBy("island").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 3, 1), (2, 10, 20, 4), (3, 30, 31, 2)]
+
+
 def test_overlays(spark):
     t1, t2, t3 = track(spark, (70, 0), (80, 7), (150, 0)), track(spark, (85, 0), (90, 75), (155, 0)), track(spark, (75, 20), (90, 35), (150, 10))
     assert ends(step.overlay([t1, t2, t3], "max")) == [(75, 20), (85, 35), (90, 75), (150, 10)]

@@ -70,4 +70,6 @@ def islands(df: DataFrame, keys: list[str], start: str, end: str, max_gap: int =
     """
     seen = along(df, keys, start, ties=[end], reach={"_reach": F.col(end)}, shard=shard)
     new = F.when(F.col(start) - F.col("_reach") <= max_gap, 0).otherwise(1)
-    return along(seen.withColumn("_new", new), keys, start, ties=[end], sums={name: F.col("_new").cast("long")}, shard=shard).drop("_reach", "_new")
+    # Of equal rows the one that opens an island goes first, whatever order they had above.
+    seen = seen.withColumn("_new", new).withColumn("_old", 1 - F.col("_new"))
+    return along(seen, keys, start, ties=[end, "_old"], sums={name: F.col("_new").cast("long")}, shard=shard).drop("_reach", "_new", "_old")

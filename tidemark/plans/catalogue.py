@@ -41,7 +41,7 @@ SELECT chrom, CAST(n_frag AS BIGINT) AS n_frag, CAST(n_loc AS BIGINT) AS n_loc,
 """
 
 P3_SQL = """
-WITH v AS (SELECT run_id, chrom, start_pos AS s, end_pos AS e FROM peaks WHERE run_id IS NOT NULL AND chrom IS NOT NULL AND end_pos > start_pos),
+WITH v AS (SELECT DISTINCT run_id, chrom, start_pos AS s, end_pos AS e FROM peaks WHERE run_id IS NOT NULL AND chrom IS NOT NULL AND end_pos > start_pos),
 m AS (SELECT *, max(e) OVER (PARTITION BY run_id, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
 g AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY run_id, chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM m),
 p AS (SELECT run_id, chrom, min(s) AS s, max(e) AS e FROM g GROUP BY run_id, chrom, isle),
@@ -248,10 +248,10 @@ for _name, _cond, _sc in (("cond1", "l1 >= 0.3 AND l12 >= 0.3", "l12"), ("cond2"
     )
 
 # Intervals.
-_RG = f"WITH {V.REGIONS}, {V.sql_islands('ri', 'rg')}, mr AS (SELECT chrom, min(s) AS s, max(e) AS e FROM ri GROUP BY chrom, g)"
+_RG = f"WITH {V.REGIONS}, rd AS (SELECT DISTINCT chrom, s, e FROM rg), {V.sql_islands('ri', 'rd')}, mr AS (SELECT chrom, min(s) AS s, max(e) AS e FROM ri GROUP BY chrom, g)"
 _IS = f"{V.FRAGS}, {V.sql_pileup('ca', 'f', where='barcode IS NOT NULL')}, ck AS (SELECT * FROM ca WHERE v >= 2), {V.sql_islands('cj', 'ck', 100)}, isl AS (SELECT chrom, min(s) AS s, max(e) AS e FROM cj GROUP BY chrom, g HAVING max(e) - min(s) >= 50)"
 _add("regions_merge", V.merged_regions, f"{_RG} SELECT {_SEG} FROM mr")
-_add("regions_expand", lambda s, d: intervals.merge(intervals.expand(V.regions(s, d), 150)), f"WITH {V.REGIONS}, x AS (SELECT chrom, greatest(s - 150, 0) AS s, e + 150 AS e FROM rg), {V.sql_islands('xi', 'x')} SELECT chrom, min(s) AS \"start\", max(e) AS \"end\" FROM xi GROUP BY chrom, g")
+_add("regions_expand", lambda s, d: intervals.merge(intervals.expand(V.regions(s, d), 150)), f"WITH {V.REGIONS}, x AS (SELECT DISTINCT chrom, greatest(s - 150, 0) AS s, e + 150 AS e FROM rg), {V.sql_islands('xi', 'x')} SELECT chrom, min(s) AS \"start\", max(e) AS \"end\" FROM xi GROUP BY chrom, g")
 _add("regions_intersect", lambda s, d: intervals.intersect(V.merged_regions(s, d), V.islands(s, d)), f"{_RG}, {_IS} SELECT mr.chrom, greatest(mr.s, isl.s) AS \"start\", least(mr.e, isl.e) AS \"end\" FROM mr JOIN isl ON mr.chrom = isl.chrom AND mr.s < isl.e AND mr.e > isl.s UNION ALL SELECT {_SEG} FROM mr WHERE chrom NOT IN (SELECT chrom FROM isl)")
 _add("regions_exclude", lambda s, d: intervals.exclude(V.regions(s, d), V.islands(s, d)), f"{_RG}, {_IS} SELECT peak_id, run_id, chrom, s AS \"start\", e AS \"end\" FROM rg WHERE NOT EXISTS (SELECT 1 FROM isl WHERE isl.chrom = rg.chrom AND rg.s < isl.e AND rg.e > isl.s)")
 _add("regions_within", lambda s, d: intervals.within(V.regions(s, d), V.islands(s, d)), f"{_RG}, {_IS} SELECT peak_id, run_id, chrom, s AS \"start\", e AS \"end\" FROM rg WHERE EXISTS (SELECT 1 FROM isl WHERE isl.chrom = rg.chrom AND rg.s < isl.e AND rg.e > isl.s)")
