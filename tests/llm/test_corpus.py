@@ -127,3 +127,19 @@ def test_residue(spark):
     v = residue.validation(df).first()
     assert v["precision"] >= 0.9 and v["recall"] >= 0.9
     assert residue.residue(df.limit(0)).count() == 0
+
+
+def test_validation_judges_every_held_out_file_whole(spark):
+    host = next(f"repo{i}" for i in range(99) if residue._held_out(f"repo{i}"))
+    rest = next(f"repo{i}" for i in range(99) if not residue._held_out(f"repo{i}"))
+    data = [(i, x, "python", rest) for i, (x, _) in enumerate(corpus())]
+    long_bad = "# {{project}}\n\n{{author}} is made by [INSERT OWNER HERE].\n" + "Lorem ipsum dolor sit amet.\n" * 9 + "x = 1\n" * 30 + "return x\n" * 12
+    held = ["Forbidden\n", long_bad] + [CODE.format("probe", "Probe", i) for i in range(residue.FIT_FILES + 100)]
+    data += [(10_000 + i, x, "python", host) for i, x in enumerate(held)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, repo_name string")
+    got = residue.validation(df).first()
+    scorer = residue.Scorer(*residue.train(*residue.labelled_sample(df, "doc_id", "text", "lang", "repo_name")))
+    judged = [(residue.weak_label(residue.body(x)), scorer.judge(x) > residue.THRESHOLD) for x in held]
+    assert got["files"] == sum(y is not None for y, _ in judged) > residue.FIT_FILES + 1
+    assert (got["positives"], got["found"], got["wrong"]) == (sum(y == 1 for y, _ in judged), judged.count((1, True)), judged.count((0, True)))
+    assert residue.validation(df.limit(0)).first()["files"] == 0

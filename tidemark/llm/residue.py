@@ -244,14 +244,14 @@ def _held_out(host: str | None) -> bool:
     return xxhash.xxh32_intdigest(host or "") % HELD_OUT == 0
 
 
-def labelled_sample(df: DataFrame, ident: str, text: str, lang: str, host: str, held_out: bool, limit: int = FIT_FILES) -> tuple[list[list[str]], list[list[str]]]:
-    """At most ``limit`` weakly labelled files of each class, those with the least hashes; of each its first and last lines."""
+def labelled_sample(df: DataFrame, ident: str, text: str, lang: str, host: str, limit: int = FIT_FILES) -> tuple[list[list[str]], list[list[str]]]:
+    """At most ``limit`` weakly labelled files of each class outside the held-out hosts, those with the least hashes; of each its first and last lines."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {0: [], 1: []}
         for batch in batches:
             for i, t, g, r in zip(*(c.to_pylist() for c in batch.columns)):
-                if t is None or _is_template(g) or _held_out(r) != held_out:
+                if t is None or _is_template(g) or _held_out(r):
                     continue
                 own = body(t)
                 y = weak_label(own)
@@ -283,7 +283,7 @@ def residue(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
     Null, empty and blank texts and template languages are no cases; a null host counts as one host; copies get the same
     verdict. With no weakly labelled file of a class nothing comes out.
     """
-    weights, bias = train(*labelled_sample(df, ident, text, lang, host, held_out=False))
+    weights, bias = train(*labelled_sample(df, ident, text, lang, host))
     model = df.sparkSession.sparkContext.broadcast((weights, bias))  # a fixed 1 MB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,11 +298,28 @@ def residue(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
 
 
 def validation(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", host: str = "repo_name", threshold: float = THRESHOLD) -> DataFrame:
-    """One row ``(files, positives, found, wrong, precision, recall)`` over weakly labelled files of the held-out hosts."""
-    weights, bias = train(*labelled_sample(df, ident, text, lang, host, held_out=False))
-    positive, negative = labelled_sample(df, ident, text, lang, host, held_out=True)
-    scorer = Scorer(weights, bias)
-    hit = sum(scorer.judge("\n".join(x)) > threshold for x in positive)
-    wrong = sum(scorer.judge("\n".join(x)) > threshold for x in negative)
-    row = (len(positive) + len(negative), len(positive), hit, wrong, hit / max(1, hit + wrong), hit / max(1, len(positive)))
-    return df.sparkSession.createDataFrame([row], "files long, positives long, found long, wrong long, precision double, recall double")
+    """One row ``(files, positives, found, wrong, precision, recall)`` over all weakly labelled files of the held-out hosts.
+
+    Only the fit is bounded; every such file is judged by its whole text, as in ``residue``.
+    """
+    weights, bias = train(*labelled_sample(df, ident, text, lang, host))
+    model = df.sparkSession.sparkContext.broadcast((weights, bias))  # a fixed 1 MB
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, n = Scorer(*model.value), [[0, 0], [0, 0]]
+        for batch in batches:
+            for t, g, r in zip(*(c.to_pylist() for c in batch.columns)):
+                if t is None or _is_template(g) or not _held_out(r):
+                    continue
+                y = weak_label(body(t))
+                if y is not None:
+                    n[y][scorer.judge(t) > threshold] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (n[1][1], n[1][0], n[0][1], n[0][0])], names=["found", "lost", "wrong", "right"])
+
+    parts = df.select(text, lang, host).mapInArrow(count, "found long, lost long, wrong long, right long")
+    sums = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in parts.columns))
+    positives, judged = F.col("found") + F.col("lost"), F.col("found") + F.col("wrong")
+    least = F.lit(1).cast("long")
+    return sums.select(
+        (positives + F.col("wrong") + F.col("right")).alias("files"), positives.alias("positives"), "found", "wrong", (F.col("found") / F.greatest(judged, least)).alias("precision"), (F.col("found") / F.greatest(positives, least)).alias("recall")
+    )
