@@ -143,3 +143,21 @@ def test_validation_judges_every_held_out_file_whole(spark):
     assert got["files"] == sum(y is not None for y, _ in judged) > residue.FIT_FILES + 1
     assert (got["positives"], got["found"], got["wrong"]) == (sum(y == 1 for y, _ in judged), judged.count((1, True)), judged.count((0, True)))
     assert residue.validation(df.limit(0)).first()["files"] == 0
+
+
+def test_suffix_is_the_greatest_of_all():
+    class Known(residue.Scorer):
+        def line(self, text):
+            return {"+": 4.0, "-": -4.0}.get(text[0], float(text) if text[0] in "0." else 0.0)
+
+    scorer = Known(residue.np.zeros(residue.BUCKETS), 0.0)
+    assert scorer.suffix(["+"] * 50 + ["-"] * 12) == (152.0, 0)
+    rng = random.Random(8)
+    for _ in range(300):
+        lines = [c for _ in range(rng.randrange(1, 8)) for c in [rng.choice("+-")] * rng.randrange(0, 20)]
+        sums = [sum(map(scorer.line, lines[k:])) for k in range(len(lines) + 1)]
+        best, at = scorer.suffix(lines)
+        assert best == max(sums) == sums[at]
+    fenced = ["+", "```", *"+++", "```", "-"]
+    assert residue.quoted(fenced) == {1, 2, 3, 4, 5} and residue.quoted(fenced[1:6]) == residue.quoted(fenced[:5]) == set()
+    assert scorer.suffix(fenced) == (12.0, 0) and scorer.suffix(fenced, residue.quoted(fenced)) == (0.0, 7)

@@ -39,8 +39,8 @@ SHARE = 0.15
 BALANCE = 8.0
 #: One repository in so many is held out from the fit, for validation on unseen hosts.
 HELD_OUT = 5
-#: A line's evidence is limited to +-CLIP; a suffix ends where the evidence has fallen by DROP below its best.
-CLIP, DROP = 4.0, 28.0
+#: A line's evidence is limited to +-CLIP.
+CLIP = 4.0
 #: Evidence from which a suffix counts.
 THRESHOLD = 1.0
 #: Longer lines are judged in pieces of so many characters.
@@ -56,6 +56,7 @@ _TICKS = re.compile(r"`[^`\n]*`")
 _STATE = re.compile(r"\W*\d{0,3}\W*(?:%s)\W*" % "|".join(map(re.escape, STATUS)), re.I)
 _CLOSING = re.compile(r"\s*(?:</\w+>\s*)+")
 _RUN = re.compile(r"(.)\1{3,}")
+_FENCE = re.compile(r"\s*(?:```|~~~)")
 
 
 def body(text: str) -> list[str]:
@@ -78,6 +79,13 @@ def pieces(line: str) -> list[str]:
     return [line] if len(line) <= PIECE else [line[i : i + PIECE] for i in range(0, len(line), PIECE)]
 
 
+def quoted(lines: list[str]) -> set[int]:
+    """The lines inside closed fences of a text that has others: what they show is quoted, not left behind."""
+    marks = [i for i, x in enumerate(lines) if _FENCE.match(x)]
+    out = {k for a, b in zip(marks[::2], marks[1::2]) for k in range(a, b + 1)}
+    return out if len(out) < len(lines) else set()
+
+
 def weak_label(lines: list[str]) -> int | None:
     """1 where a phrase, a state or several marks open the file; 0 where its end is free of them; None otherwise."""
     filled = [x for x in lines if x.strip()]
@@ -132,22 +140,27 @@ class Scorer:
             self.lines[text] = got
         return got
 
-    def suffix(self, lines: list[str]) -> tuple[float, int]:
-        """The greatest evidence of any suffix and the line it starts at, scanned from the end until it can't recover."""
-        best, at, run = 0.0, len(lines), 0.0
+    def suffix(self, lines: list[str], quotes: set[int] = frozenset()) -> tuple[float, int]:
+        """The greatest evidence of any suffix and the line it starts at, scanned from the end until what is left can't lift it.
+
+        The lines ``quotes`` can only speak against it.
+        """
+        parts = [pieces(x) for x in lines]
+        best, at, run, left = 0.0, len(lines), 0.0, sum(map(len, parts))
         for i in range(len(lines) - 1, -1, -1):
-            for p in reversed(pieces(lines[i])):
-                run += self.line(p)
+            for p in reversed(parts[i]):
+                run += min(0.0, self.line(p)) if i in quotes else self.line(p)
+            left -= len(parts[i])
             if run > best:
                 best, at = run, i
-            elif run < best - DROP:
+            elif run + CLIP * left <= best:
                 break
         return best, at
 
     def judge(self, text: str) -> float:
         """Evidence that residue stands in the whole file, under its licence header, or from some point on."""
         lines = [y for x in body(text.translate(_DIGITS)) for y in _JOIN.split(x) if y.strip()]
-        best, at = self.suffix(lines)
+        best, at = self.suffix(lines, quoted(lines))
         if 0 < len(lines) <= 2 and _STATE.fullmatch(" ".join(lines)):
             return max(best, CLIP)  # nothing but the name of a state
         if at:  # residue may start inside the line before
