@@ -161,3 +161,20 @@ def test_suffix_is_the_greatest_of_all():
     fenced = ["+", "```", *"+++", "```", "-"]
     assert residue.quoted(fenced) == {1, 2, 3, 4, 5} and residue.quoted(fenced[1:6]) == residue.quoted(fenced[:5]) == set()
     assert scorer.suffix(fenced) == (12.0, 0) and scorer.suffix(fenced, residue.quoted(fenced)) == (0.0, 7)
+
+
+def test_residue_may_start_at_any_token_of_a_line():
+    weights = residue.np.zeros(residue.BUCKETS)
+    for x, y in (("lorem", 3), ("dolor", 3), ("x", -3), ("=", -3), (";", -3)):
+        weights[residue._bucket(x)] = y
+    scorer = residue.Scorer(weights, -0.1)
+    code = "x=x;" * 175
+    for tail in ("lorem dolor " * 30, " lorem dolor" * 30, "4 lorem dolor" * 15, " 404 " + "dolor lorem " * 9):
+        assert scorer.judge(code + tail) > residue.THRESHOLD and scorer.judge("x = x;\n" * 9 + code + tail) > residue.THRESHOLD
+    assert scorer.judge(code) == scorer.judge(code + "\n" + code) == 0.0
+    text = "x=x;" * 20 + "lorem dolor " * 12
+    tokens = residue._TOKEN.findall(text)
+    value = lambda x: float(weights[residue._bucket(x)])
+    every = [sum(map(value, tokens[k:])) / (2 * max(len(tokens) - k, residue.SHORT_RUN) + 2) ** 0.5 - 0.1 for k in range(len(tokens))]
+    assert scorer.judge("x=x;" * 200 + "Dolor") > residue.THRESHOLD
+    assert scorer.start(text) == pytest.approx(min(residue.CLIP, max(every)))

@@ -45,6 +45,9 @@ CLIP = 4.0
 THRESHOLD = 1.0
 #: Longer lines are judged in pieces of so many characters.
 PIECE = 400
+#: Where residue starts inside a piece, fewer tokens than these weigh as if they were so many, so that no single one decides;
+#: not so at a capital letter that is glued to the text before it, where a file was cut and residue follows.
+SHORT_RUN = 32
 
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|0+|_+|[^\W\d_]|[^\w\s]")
 _DIGITS = {ord(c): "0" for c in "123456789"}
@@ -123,7 +126,7 @@ class Scorer:
                 v = self[key] = scorer_weights[_bucket(key.lower() if isinstance(key, str) else f"{key[0]} {key[1]}".lower())]
                 return v
 
-        self.known, self.lines = Known(), {}
+        self.known, self.lines, self.starts = Known(), {}, {}
 
     def line(self, text: str) -> float:
         got = self.lines.get(text)
@@ -140,8 +143,23 @@ class Scorer:
             self.lines[text] = got
         return got
 
+    def start(self, text: str) -> float:
+        """The greatest evidence of a piece from any of its tokens on, by a running sum over tokens."""
+        got = self.starts.get(text)
+        if got is None:
+            if len(self.starts) > 100_000:
+                self.starts.clear()
+            got, z, t, w = 0.0, 0.0, [] if _CLOSING.fullmatch(text) else list(_TOKEN.finditer(text)), self.known.__getitem__
+            for n, k in enumerate(range(len(t) - 1, -1, -1), 1):
+                x, c = t[k][0], t[k].start()
+                z += w((x, t[k + 1][0])) + w(x) if n > 1 else w("$ " + x) + w(x)
+                glued = c > 0 and text[c].isupper() and not text[c - 1].isspace()
+                got = max(got, min(CLIP, (z + w("^ " + x) + w(f"len {min(n // 4, 8)}")) / (2 * (n if glued else max(n, SHORT_RUN)) + 2) ** 0.5 + self.bias))
+            self.starts[text] = got
+        return got
+
     def suffix(self, lines: list[str], quotes: set[int] = frozenset()) -> tuple[float, int]:
-        """The greatest evidence of any suffix and the line it starts at, scanned from the end until what is left can't lift it.
+        """The greatest evidence of any suffix, from any token on, and the line it starts in, scanned from the end until what is left can't lift it.
 
         The lines ``quotes`` can only speak against it.
         """
@@ -149,11 +167,13 @@ class Scorer:
         best, at, run, left = 0.0, len(lines), 0.0, sum(map(len, parts))
         for i in range(len(lines) - 1, -1, -1):
             for p in reversed(parts[i]):
+                if run + CLIP > best and i not in quotes and (x := run + self.start(p)) > best:
+                    best, at = x, i
                 run += min(0.0, self.line(p)) if i in quotes else self.line(p)
-            left -= len(parts[i])
-            if run > best:
-                best, at = run, i
-            elif run + CLIP * left <= best:
+                left -= 1
+                if run > best:
+                    best, at = run, i
+            if run + CLIP * left <= best:
                 break
         return best, at
 
@@ -163,11 +183,6 @@ class Scorer:
         best, at = self.suffix(lines, quoted(lines))
         if 0 < len(lines) <= 2 and _STATE.fullmatch(" ".join(lines)):
             return max(best, CLIP)  # nothing but the name of a state
-        if at:  # residue may start inside the line before
-            joined = pieces(lines[at - 1])[-1]
-            cuts = [m.start() for m in _TOKEN.finditer(joined)][1:][-40:]
-            rest = max((self.line(joined[c:]) for c in cuts if joined[c - 1] != " " and joined[c].isupper()), default=0.0)
-            best += max(0.0, rest)
         return best
 
 
