@@ -1,3 +1,8 @@
+import math
+import random
+
+import pytest
+
 from tidemark.operators import variants as V
 
 
@@ -22,3 +27,26 @@ def test_genotypes(spark):
     assert set(calls) == {104, 105}
     assert calls[104]["gt"] == "0/1" and calls[104]["alt"] == "T" and calls[105]["gt"] == "1/1" and calls[105]["alt"] == "C"
     assert V.call_variants(V.pile(V.bases(df.limit(0)))).count() == 0
+
+
+def test_genotype_takes_the_best_of_all_counts():
+    rng = random.Random(9)
+    for n in [1, 2, 3, 30, 201, 202, 450, 3000, *(rng.randrange(2, 1200) for _ in range(25))]:
+        n2 = rng.randrange(0, n // 2 + 1) if rng.random() < 0.5 else min(n // 2, rng.randrange(0, 8))
+        split = rng.randrange(0, n - n2 + 1)
+        q1, q2 = [(rng.choice([2, 5, 21, 35]), n - n2 - split), (40, split)], [(rng.choice([2, 21, 30, 37]), n2)] * (n2 > 0)
+        ks = range(1, max(1, n - 1) + 1)
+        ll = [float(V.log_likelihood(q1, q2, x / n)) for x in ks]
+        binom = [math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in ks]
+        got = V.genotype(q1, q2)
+        assert got["hetero"][0] == pytest.approx(max(a + b + n * math.log(0.5) for a, b in zip(ll, binom)), abs=1e-6)
+        assert got["biased"][0] == pytest.approx(max(a + b + x * math.log(x / n) + (n - x) * math.log(max(1 - x / n, 1e-300)) for a, b, x in zip(ll, binom, ks)), abs=1e-6)
+
+
+def test_rare_allele_of_a_deep_site(spark):
+    pile = [("chr1", 7, "A", "A", 99_800, 50_000, 0, [(30, 99_800)]), ("chr1", 7, "A", "T", 200, 100, 0, [(30, 200)])]
+    df = spark.createDataFrame(pile, "chrom string, pos long, ref string, allele string, n long, n_plus long, n_tip long, quals array<struct<bq:int,c:long>>")
+    got = V.call_variants(df).collect()
+    m = V.genotype([(30, 99_800)], [(30, 200)])
+    assert m["biased"][0] > m["major"][0] + 10
+    assert [(r["alt"], r["gt"], r["model"]) for r in got] == [("T", "0/1", "biased")]

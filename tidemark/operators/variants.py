@@ -1,7 +1,7 @@
 """Alleles per reference position and genotypes by model selection, without assembly.
 
 The models follow the published meaning (homozygous, heterozygous, heterozygous with allele bias; lowest BIC by a margin
-of 2), in a formulation of our own: the share of the first allele is taken at its best over all counts, with a binomial
+of 2), in a formulation of our own: the share of the first allele is taken at its best over all counts at every depth, with a binomial
 term for its balance. Borderline sites may come out differently than elsewhere.
 """
 
@@ -92,24 +92,51 @@ def top_alleles(piles: DataFrame) -> DataFrame:
     return piles.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
 
 
-def log_likelihood(q1: list[tuple[int, int]], q2: list[tuple[int, int]], share: float) -> float:
-    """ln L of the two alleles' (quality, count) pairs if the first makes up ``share`` of the molecules."""
+def log_likelihood(q1: list[tuple[int, int]], q2: list[tuple[int, int]], share):
+    """ln L of the two alleles' (quality, count) pairs if the first makes up ``share`` (one or an array) of the molecules."""
     total = 0.0
     for pairs, f in ((q1, share), (q2, 1 - share)):
         for bq, c in pairs:
             e = 10 ** (-bq / 10)
-            total += c * math.log(max(f * (1 - e) + (1 - f) * e, 1e-300))
+            total = total + c * np.log(np.maximum(f * (1 - e) + (1 - f) * e, 1e-300))
     return total
 
 
+def _first(holds, low: int, high: int) -> int:
+    """The least of low..high from which on ``holds`` is true; it is at high."""
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if holds(mid) else (mid + 1, high)
+    return low
+
+
+def _peak(f, low: int, high: int) -> int:
+    """Where a concave ``f`` is greatest among low..high."""
+    return _first(lambda x: x == high or f(x + 1) <= f(x), low, high)
+
+
 def genotype(q1: list[tuple[int, int]], q2: list[tuple[int, int]]) -> dict:
     """ln L and BIC of the models: ``major`` and ``minor`` homozygous, ``hetero`` balanced, ``biased`` with a free share."""
     n = sum(c for _, c in q1) + sum(c for _, c in q2)
-    k = np.unique(np.linspace(1, max(1, n - 1), min(200, max(1, n - 1))).astype(int))
-    binom = [math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in k]
-    ll = [log_likelihood(q1, q2, x / n) for x in k]
-    balanced = max(a + b + n * math.log(0.5) for a, b in zip(ll, binom))
-    free = max(a + b + x * math.log(x / n) + (n - x) * math.log(max(1 - x / n, 1e-300)) for a, b, x in zip(ll, binom, k))
+    last = max(1, n - 1)
+
+    def ll(x):
+        return log_likelihood(q1, q2, x / n)
+
+    def binom(x: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1)
+
+    def odds(x: int) -> float:
+        return binom(x) + x * math.log(x / n) + (n - x) * math.log(max(1 - x / n, 1e-300))
+
+    # ln L and the binomial term are concave in the count, so the balanced model has one peak. The term of the biased model is
+    # convex and greatest at the ends: its best count lies where ln L is no further below its peak than that term can make up.
+    x = _peak(lambda x: ll(x) + binom(x), 1, last)
+    balanced = ll(x) + binom(x) + n * math.log(0.5)
+    top = _peak(ll, 1, last)
+    floor = ll(top) + odds(top) - max(odds(1), odds(last)) - 1e-6
+    low, high = _first(lambda x: ll(x) >= floor, 1, top), last + 1 - _first(lambda x: ll(last + 1 - x) >= floor, 1, last + 1 - top)
+    free = max(float(np.max(ll(x) + np.array([odds(i) for i in x.tolist()]))) for s in range(low, high + 1, 65536) for x in [np.arange(s, min(s + 65536, high + 1))])
     like = {"major": log_likelihood(q1, q2, 1.0), "minor": log_likelihood(q1, q2, 0.0), "hetero": balanced, "biased": free}
     terms = {"major": 0, "minor": 0, "hetero": 1, "biased": 2}
     return {m: (v, -2 * v + terms[m] * math.log(n)) for m, v in like.items()}
