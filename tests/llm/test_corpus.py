@@ -103,6 +103,16 @@ def test_mix_reaches_targets(spark):
     assert mix.mix(d.limit(0), t)[0].count() == 0 and mix.mix(d, t.limit(0))[0].count() == 0
 
 
+def test_empty_texts_are_not_repeated_beyond_their_source(spark, monkeypatch):
+    monkeypatch.setattr(mix, "RANGES", 1)
+    docs = [(i, "full", "" if i % 2 else "word word word") for i in range(60)] + [(100 + i, "none", None if i % 2 else "word") for i in range(40)] + [(200 + i, "rest", "word " * 9) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("full", 0.9, 2), ("none", 0.0, 2), ("rest", 0.1, 1)], "source string, target_weight double, max_repeats int")
+    used, shares = mix.mix(d, t)
+    assert {r["copies"] for r in used.where("source = 'full'").collect()} == {2} and used.where("source = 'none'").count() == 0
+    assert all(r["most_copies"] <= r["max_repeats"] for r in shares.collect())
+
+
 CODE = "def {0}(x):\n    # check the {1} first\n    if x > {2}:\n        return x.{1}\n    for k in range({2}):\n        x.append(k * {2})\n    return x\n\n\nclass {1}Thing:\n    value = {2}\n"
 
 

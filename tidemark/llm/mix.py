@@ -72,7 +72,7 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", source: str
     placed = rows.join(F.broadcast(cut), "s", "left")  # one row per target at most
     edge = placed.where(F.col("range") == F.col("cut"))
     order = F.sum("n").over(Window.partitionBy("s").orderBy("u", "i").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("extra", (F.col("base") + order <= F.col("rest")).cast("int"))
+    edge = edge.withColumn("extra", ((F.col("rest") > 0) & (F.col("base") + order <= F.col("rest"))).cast("int"))
     clear = placed.where(F.col("cut").isNull() | (F.col("range") != F.col("cut"))).withColumn("extra", ((F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("range") < F.col("cut")))).cast("int"))
     used = clear.unionByName(edge).select("i", "s", "n", (F.col("whole") + F.col("extra")).alias("copies")).where(F.col("copies") > 0)
     mixture = used.select(F.col("i").alias(ident), F.col("s").alias(source), F.col("n").alias("n_tokens"), "copies")
