@@ -114,7 +114,7 @@ def _bucket(feature: str) -> int:
 
 
 class Scorer:
-    """Evidence per line by a linear model of hashed uni- and bigrams, line length and position of page titles."""
+    """Evidence per line by a linear model of hashed uni- and bigrams, first and last token and line length; titles and positions are left out."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         scorer_weights, self.bias = weights.tolist(), bias
@@ -303,8 +303,8 @@ def residue(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str
     """``(ident, evidence)`` of the files whose content is residue: the whole file, all under its licence header, or a tail.
 
     1. Files are weakly labelled by the state names, phrases and marks that open or close them.
-    2. An L2-regularized logistic model of hashed uni- and bigrams, line length and position (page titles among them) is
-       fitted on a bounded sample of them, one host in ``HELD_OUT`` left out, and refitted after relabelling the files
+    2. An L2-regularized logistic model of hashed uni- and bigrams, first and last token and line length is fitted (page
+       titles, headings and a line's place are left out) on a bounded sample of them, one host in ``HELD_OUT`` left out, and refitted after relabelling the files
        whose own lines speak against their label (real files that quote such text).
     3. Every file is scored line by line from its end; the suffix with the greatest evidence decides.
 
