@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -62,24 +63,62 @@ def test_encoding_equals_the_tokenizer_and_round_trips(spark):
     assert encode.encode(df.limit(0)).count() == 0
 
 
+def merges():
+    return encode.Merges(encode.vocabulary(encode.default_path()), public_tokenizers.PATTERN)
+
+
+# Every kind of white space and of near white space (U+001C to U+001F are none to the pattern), contractions, marks without spaces, unassigned letters.
+PARTS = ["the ", "'s", "'ll", "'l", "'", "  ", " ", "\n", "\r\n", "\t", "==", "12", "١٢", "é", "e\u0301", "日本", "、", "。", "a", "zzzz", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\ufeff", "\u0558", "\U00018e00"]
+
+
 def test_transducer_at_any_chunk():
-    m = encode.Merges(encode.vocabulary(encode.default_path()), public_tokenizers.PATTERN)
-    rng = random.Random(5)
-    for _ in range(400):
-        s = "".join(rng.choice(["the ", "'s", "'ll", "  ", "\n", "==", "12", "é", "日本", "a", " ", "'", "zzzz"]) for _ in range(rng.randrange(1, 60)))
-        assert encode.Transducer(m, rng.choice([3, 5, 16, 64])).encode(s).tolist() == m.encoding.encode_ordinary(s)
+    m, rng, began = merges(), random.Random(5), time.time()
+    for _ in range(4000):
+        some = rng.sample(PARTS, rng.randrange(1, 7))
+        s = "".join(rng.choice(some) for _ in range(rng.randrange(1, 60)))
+        assert encode.Transducer(m, rng.choice([3, 4, 5, 8, 16, 64, 256, encode.CHUNK])).encode(s) == m.encoding.encode_ordinary(s)
+    assert time.time() - began < 60
+
+
+def test_long_texts_end_in_linear_time():
+    m, began = merges(), time.time()
+    for s in (" " + "\x1c" * 40001 + " end", "日本語テキスト、" * 12_000, "。" * 80_000 + "a", "'" * 50_000 + "ll", " \n" * 40_000 + "x", "ab=-" * 20_000, "x" * 200_000):
+        t, most, out = encode.Transducer(m), 0, []
+        for at in range(0, len(s), 1000):
+            out += t.feed(s[at : at + 1000])
+            most = max(most, len(t.held) + (len(t.run.held) if t.run else 0))
+        assert out + t.finish() == m.encoding.encode_ordinary(s) and most <= 2 * encode.CHUNK
+    assert time.time() - began < 60
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    monkeypatch.setattr(encode, "KNOWN", 10)
+    monkeypatch.setattr(encode, "KNOWN_PAIRS", 10)
+    m = merges()
+    s = " ".join(f"word{k}thing" for k in range(100)) + " " + "y" * 100
+    assert encode.Transducer(m).encode(s) == m.encoding.encode_ordinary(s) and len(m.known) <= 10 and len(m._fit) <= 10
+
+
+def test_held_bytes_and_decoder():
+    m = merges()
     run = encode.RunTransducer(m)
     held, out = 0, []
     for _ in range(50):
-        out += run.feed(b"abethi" * 40)
+        out += run.feed(b"abethi" * 400)
         held = max(held, len(run.held))
-    assert out + run.finish() == m.encoding._encode_single_piece(b"abethi" * 2000)
-    assert held <= encode.sufficient_lookahead(m.ranks, set(b"abethi"))
+    assert out + run.finish() == m.encoding._encode_single_piece(b"abethi" * 20000)
+    assert held <= encode.STEP + min(encode.sufficient_lookahead(m.ranks, set(b"abethi")), 2400)
     d = encode.Decoder(m)
     ids = m.encoding.encode_ordinary("日本語 é")
     assert "".join(d.feed([i]) for i in ids) + d.finish() == "日本語 é"
 
 
+def test_other_vocabulary_and_pattern():
+    other = encode.Merges(encode.vocabulary(encode.default_path("byte_bpe_multi_50k")), r"\p{Lu}?[\p{Ll}\p{Lo}]+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s*[\r\n]+|\s+")
+    for s in ("Größe 12345 日本語!\n\n  x", "abcdef " * 9000):
+        assert encode.Transducer(other).encode(s) == other.encoding.encode_ordinary(s)
+
+
 def test_water_fill():
     got = mix.water_fill({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 100, "b": 1000, "c": 1000}, 1000)
     assert got["a"] == 100 and got["b"] == pytest.approx(540) and got["c"] == pytest.approx(360)

@@ -1,14 +1,22 @@
-"""Encoding of a whole corpus with a public byte-level BPE, by a streaming transducer of bounded lookahead."""
+"""Encoding of a whole corpus with a public byte-level BPE, by a streaming transducer of bounded lookahead.
+
+Text passes two stages. The first splits it into pre-tokens and lets one go as soon as no later character can change where
+it ends. The second reads the bytes of a pre-token and lets a token go as soon as no later byte can change it. Texts of
+every length take this path; the tokenizer library is asked only whether two tokens may stand side by side and which
+characters belong to a class of the pattern.
+"""
 
 from __future__ import annotations
 
 import base64
 import codecs
+import functools
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
@@ -17,14 +25,17 @@ try:
 except ImportError:  # then paths and patterns are the caller's to give
     public_tokenizers = None
 
-#: Characters that the transducer holds before it must cut.
+#: Characters that the transducer holds before pre-tokens leave.
 CHUNK = 1 << 15
-# White space as the pre-tokenizer's pattern means it (Unicode White_Space).
-SPACE = "\t-\r \x85\xa0  -     　"
-#: Between these two characters every text splits, whatever stands before and after: no pre-token holds both.
-_CUT = regex.compile(rf"(?r)(?<=[^{SPACE}])(?=[{SPACE}])|(?<=[A-Za-z])(?=[!-@\[-`{{-~])|(?<=[0-9])(?=[!-/:-~])")
-#: Contractions, which are pre-tokens where one begins.
-_SHORT = regex.compile("'(?:s|t|re|ve|m|ll|d)")
+#: Bytes of a pre-token between two looks for stable tokens.
+STEP = 1 << 12
+#: Characters after a pre-token that decide where it ends, for the pattern of the public tokenizers: a contraction is an
+#: apostrophe and two letters, and white space gives its last character away only if something else follows.
+PATTERN_LOOKAHEAD = 2
+#: Characters at either end of a pre-token that decide which part of the pattern it matches.
+EDGE = 2
+#: A worker keeps the ids of so many pre-tokens of at most so many characters, and so many answers about pairs; then it starts anew.
+KNOWN, KNOWN_CHARS, KNOWN_PAIRS = 1 << 18, 32, 1 << 20
 
 
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -41,13 +52,34 @@ def sufficient_lookahead(ranks: dict[bytes, int], alphabet: set[int] | None = No
     """Bytes after which a token can no longer change: (number of merges) x (longest token) over the given bytes.
 
     A later byte reaches back over one token per merge of strictly higher priority, so over no more tokens than there
-    are merges; for a run of few different bytes only the merges within them count. The transducer does not wait so
-    long: it emits as soon as all continuations share a prefix, which is never later than this.
+    are merges; for a run of few different bytes only the merges within them count. It bounds what a transducer holds.
     """
     own = [t for t in ranks if len(t) > 1 and (alphabet is None or alphabet.issuperset(t))]
     return max(1, len(own)) * max((len(t) for t in own), default=1)
 
 
+@functools.cache
+def class_members(name: str) -> str:
+    """Ranges of the characters of a class (``\\p{L}``, ``\\s``, ...) as the tokenizer library's tables have it, for use in brackets.
+
+    Other libraries know other versions of Unicode, which would split some texts elsewhere.
+    """
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    one_byte = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    codes = np.frombuffer(bytes(one_byte.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)
+    starts = np.flatnonzero(np.diff(codes, prepend=-2) != 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[starts], codes[np.r_[starts[1:] - 1, len(codes) - 1]]))
+
+
+@functools.cache
+def splitter(pattern: str):
+    """The pattern compiled with the library's own classes."""
+    name = re.compile(r"\\[pP]\{\w+\}|\\[sS]")
+    bracket = re.compile(r"\[(?:\\[pP]\{\w+\}|\\.|[^\]\\])*\]")
+    inside = bracket.sub(lambda b: name.sub(lambda m: class_members(m[0]), b[0]), pattern)
+    return re.compile(name.sub(lambda m: f"[{class_members(m[0])}]", inside))
+
+
 class Merges:
     """Which tokens may stand side by side, and which bytes end a token."""
 
@@ -55,22 +87,48 @@ class Merges:
         self.ranks, self.bytes = ranks, {i: t for t, i in ranks.items()}
         self.encoding = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.longest = max(map(len, ranks))
-        self._suffixes: set[bytes] | None = None
+        self.suffixes = {t[k:] for t in ranks for k in range(len(t))}
+        self.split = splitter(pattern)
+        #: Other patterns than the public tokenizers' are matched on whole texts.
+        self.after = PATTERN_LOOKAHEAD if public_tokenizers and pattern == public_tokenizers.PATTERN else None
+        self.known = _Known(self)
         self._fit: dict[tuple[int, int], bool] = {}
 
-    @property
-    def suffixes(self) -> set[bytes]:
-        if self._suffixes is None:
-            self._suffixes = {t[k:] for t in self.ranks for k in range(len(t))}
-        return self._suffixes
+    @functools.cached_property
+    def lookahead(self) -> int:
+        return sufficient_lookahead(self.ranks)
 
     def fit(self, a: int, b: int) -> bool:
         got = self._fit.get((a, b))
         if got is None:
+            if len(self._fit) >= KNOWN_PAIRS:
+                self._fit.clear()
             got = self._fit[a, b] = self.encoding._encode_single_piece(self.bytes[a] + self.bytes[b]) == [a, b]
         return got
 
 
+class _Known(dict):
+    """Ids of pre-tokens that were transduced before."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges = merges
+
+    def __missing__(self, piece: str) -> list[int]:
+        data = piece.encode()
+        token = self.merges.ranks.get(data)
+        if token is not None:
+            out = [token]
+        else:
+            run = RunTransducer(self.merges)
+            out = run.feed(data) + run.finish()
+        if len(piece) <= KNOWN_CHARS:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class RunTransducer:
     """BPE of one endless pre-token: bytes in, tokens out as soon as no continuation can change them.
 
@@ -97,11 +155,16 @@ class RunTransducer:
         raise ValueError("the vocabulary does not cover this byte")
 
     def feed(self, data: bytes) -> list[int]:
-        for at in range(0, len(data), 4096):
-            for b in data[at : at + 4096]:
+        out = []
+        for at in range(0, len(data), STEP):
+            for b in data[at : at + STEP]:
                 self.held.append(b)
                 self.last.append(self._ends(len(self.held)))
-        return self._stable()
+            if len(self.held) >= STEP:
+                out += self._stable()
+                if len(self.held) > self.m.lookahead:
+                    raise RuntimeError("a token stayed open beyond the sufficient lookahead of the merges")
+        return out
 
     def _path(self, i: int) -> list[int]:
         out = []
@@ -132,74 +195,53 @@ class RunTransducer:
 
 
 class Transducer:
-    """Text in pieces of any size in, ids out; holds at most about ``chunk`` characters."""
+    """Text in pieces of any size in, ids out; holds about ``chunk`` characters and the open bytes of one pre-token."""
 
     def __init__(self, merges: Merges, chunk: int = CHUNK):
-        self.m, self.chunk, self.held, self.run, self.kind = merges, chunk, "", None, ""
+        self.m, self.chunk, self.held, self.run, self.fed = merges, chunk, "", None, 0
 
-    def _encode(self, text: str) -> np.ndarray:
-        return self.m.encoding.encode_to_numpy(text, disallowed_special=())
+    def _ids(self, pieces: list[str]) -> list[int]:
+        """Ids of finished pre-tokens; the first may have been begun."""
+        out = []
+        if self.run is not None and pieces:
+            out = self.run.feed(pieces[0][self.fed :].encode()) + self.run.finish()
+            self.run, self.fed, pieces = None, 0, pieces[1:]
+        out.extend(chain.from_iterable(map(self.m.known.__getitem__, pieces)))
+        return out
 
-    def feed(self, text: str) -> Iterator[np.ndarray]:
+    def feed(self, text: str) -> list[int]:
         self.held += text
-        while len(self.held) > self.chunk or (self.run and self.held):
-            if self.run is not None:
-                if not (yield from self._continue_run(False)):
-                    return
-                continue
-            cut = _CUT.search(self.held, 1, self.chunk)
-            if cut:
-                yield self._encode(self.held[: cut.start()])
-                self.held = self.held[cut.start() :]
-            elif short := _SHORT.match(self.held):
-                yield self._encode(short[0])
-                self.held = self.held[short.end() :]
-            else:
-                self._start_run()
-
-    def _start_run(self) -> None:
-        """No cut in sight: one pre-token fills the chunk, or ends in it without a cut that holds for every text."""
-        first = self.held[0] if self.held[0] != " " or self.held[1].isspace() else self.held[1]
-        self.kind = "s" if regex.match(rf"[{SPACE}]", first) else "L" if regex.match(r"\p{L}", first) else "N" if regex.match(r"\p{N}", first) else "o"
-        self.run = RunTransducer(self.m)
-        self.lead = self.kind != "s" and self.held[0] == " "
-
-    def _continue_run(self, ended: bool) -> Iterator[np.ndarray]:
-        pattern = {"s": rf"[{SPACE}]*", "L": r"\p{L}*", "N": r"\p{N}*", "o": rf"[^{SPACE}\p{{L}}\p{{N}}]*"}[self.kind]
-        head = 1 if self.lead else 0
-        self.lead = False
-        n = regex.compile(pattern).match(self.held, head).end()
-        open_end = n == len(self.held) and not ended
-        # The last white space belongs to the run only at the end of the text.
-        take = n - 1 if self.kind == "s" and not (ended and n == len(self.held)) else n
-        out = self.run.feed(self.held[: max(0, take)].encode()) if take > 0 else []
-        self.held = self.held[max(0, take) :]
-        if open_end:
-            yield np.asarray(out, np.int32)
-            return False
-        yield np.asarray(out + self.run.finish(), np.int32)
-        self.run = None
-        if self.kind == "s" and self.held and take < n and not (self.held[0] == " " and len(self.held) > 1):
-            yield self._encode(self.held[0])  # a white space that joins nothing
-            self.held = self.held[1:]
-        return True
-
-    def finish(self) -> Iterator[np.ndarray]:
-        if self.run is not None:
-            yield from self._continue_run(True)
-        while len(self.held) > self.chunk:
-            yield from self.feed("")
-            if self.run is not None:
-                yield from self._continue_run(True)
-        if self.held:
-            yield self._encode(self.held)
+        if self.m.after is None or len(self.held) <= self.chunk:
+            return []
+        pieces = self.m.split.findall(self.held)
+        n = end = len(self.held)
+        k = len(pieces)
+        while k and end > n - self.m.after:  # the ends of these may still move
+            k -= 1
+            end -= len(pieces[k])
+        out = self._ids(pieces[:k])
+        self.held = self.held[end:]
+        if k < len(pieces) and len(pieces[k]) > max(self.chunk // 2, 2 * (EDGE + self.m.after)):
+            # One pre-token fills the chunk. What is known to be of it goes on to the bytes; the edges that decide how it
+            # matches are kept.
+            sure = len(pieces[k]) - self.m.after
+            self.run = self.run or RunTransducer(self.m)
+            out += self.run.feed(self.held[self.fed : sure].encode())
+            self.held, self.fed = self.held[:EDGE] + self.held[sure:], EDGE
+        return out
+
+    def finish(self) -> list[int]:
+        out = self._ids(self.m.split.findall(self.held))
         self.held = ""
+        return out
+
+    def parts(self, text: str) -> Iterator[list[int]]:
+        for at in range(0, len(text), self.chunk):
+            yield self.feed(text[at : at + self.chunk])
+        yield self.finish()
 
-    def encode(self, text: str) -> np.ndarray:
-        if len(text) <= self.chunk:
-            return self._encode(text) if text else np.zeros(0, np.int32)
-        parts = [x for at in range(0, len(text), self.chunk) for x in self.feed(text[at : at + self.chunk])]
-        return np.concatenate([*parts, *self.finish()]).astype(np.int32, copy=False)
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.parts(text)))
 
 
 class Decoder:
@@ -248,9 +290,9 @@ def encode(df: DataFrame, ident: str = "doc_id", text: str = "text", path: str |
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [t.encode(x) if x else np.zeros(0, np.int32) for x in part.column(1).to_pylist()]
+                ids = [t.encode(x) if x else [] for x in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = pa.array(np.concatenate(ids).astype(np.int32, copy=False) if ids else np.zeros(0, np.int32))
+                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[ident, "ids"])
 
     return df.select(ident, text).mapInArrow(run, f"`{ident}` {df.schema[ident].dataType.simpleString()}, ids array<int>")
@@ -263,7 +305,7 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Transducer(_merges(data.value, pattern))
         for batch in batches:
-            sizes = pa.array([len(t.encode(x)) if x else 0 for x in batch.column(len(keep)).to_pylist()], pa.int64())
+            sizes = pa.array([sum(map(len, t.parts(x))) if x else 0 for x in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), sizes], names=[*keep, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
