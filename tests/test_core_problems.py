@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import coverage, skew, tracks
+from tidemark.operators import coverage, intervals, skew, tracks
 from tidemark.sources import export_lines
 
 
@@ -74,6 +75,26 @@ def test_periods_and_gaps(spark, shard):
     assert coverage.periods_and_gaps(df.limit(0), ["run_id", "chrom"], "start_pos", "end_pos").count() == 0
 
 
+def test_periods_on_time_axes(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(1969, 12, 31, 23, 59, 59, 999_998)
+    spans = [(0, 5), (3, 9), (9, 12), (3_000_000_000, 3_000_000_007), (9_000_000_000_000, 9_000_000_000_001)]
+    want = [("period", 0, 12), ("gap", 12, 3_000_000_000), ("period", 3_000_000_000, 3_000_000_007), ("gap", 3_000_000_007, 9_000_000_000_000), ("period", 9_000_000_000_000, 9_000_000_000_001)]
+    numbers = spark.createDataFrame([("k", a, b) for a, b in spans], "k string, s long, e long")
+    assert sorted(tuple(r)[1:] for r in coverage.periods_and_gaps(numbers, ["k"], "s", "e").collect()) == sorted(want)
+    at = lambda n: t0 + timedelta(microseconds=n)
+    for kind in ("timestamp", "timestamp_ntz"):
+        times = spark.createDataFrame([("k", at(a), at(b)) for a, b in spans], f"k string, s {kind}, e {kind}")
+        got = coverage.periods_and_gaps(times, ["k"], "s", "e")
+        assert dict(got.dtypes)["seg_start"] == kind
+        assert sorted(tuple(r)[1:] for r in got.select("k", "kind", *(F.col(c).cast("string").alias(c) for c in ("seg_start", "seg_end"))).collect()) == sorted((k, *(x.isoformat(" ").rstrip("0") for x in map(at, ab))) for k, *ab in want)
+    days = spark.sql("select 'k' k, date'2024-02-28' s, date'2024-03-01' e union all select 'k', date'2024-03-05', date'2024-03-06'")
+    assert sorted(map(str, [v for r in coverage.periods_and_gaps(days, ["k"], "s", "e").where("kind = 'gap'").collect() for v in r[2:]])) == ["2024-03-01", "2024-03-05"]
+    with pytest.raises(TypeError):
+        coverage.periods_and_gaps(spark.createDataFrame([("k", 1.0, 2.0)], "k string, s double, e double"), ["k"], "s", "e")
+
+
 def line(**over):
     f = ["m", "1", "2", "3", "4", "5", "6", "7", "ACGT", "IIII", "chr1", "", "123", "F", "x", "1", "2", "3", "4", "5", "6", "Y"]
     for k, v in over.items():
@@ -105,3 +126,23 @@ def test_tracks(spark):
     assert [tracks.limit_duplicates(df, ["chrom", "pos", "strand"], k).count() for k in (3, 2, 1)] == [16, 14, 11]  # of FIXTURES F1
     assert tracks.sample(df, ["chrom", "strand"], 0.5).count() == 8
     assert sorted(map(tuple, tracks.sample(df, ["chrom"], 0.5).collect())) == sorted(map(tuple, tracks.sample(df, ["chrom"], 0.5).collect()))
+
+
+@pytest.mark.parametrize("size", [4, 1 << 12])
+def test_overlaps_brute_force(spark, size):
+    """Intervals of all lengths, one location that most rows share, nulls and empty intervals."""
+    rng = random.Random(size)
+    draw = lambda: (lambda s: (rng.choice(["a", "b"]), s, s + rng.choice([1, 2, 5, 40, 700, 9000])))(rng.randrange(3000))
+    left = [draw() for _ in range(60)] + [("a", 500, 520)] * 150 + [(None, 1, 5), ("a", None, 5), ("a", 9, 9)]
+    right = [draw() for _ in range(40)] + [("b", None, 9), (None, 1, 2), ("a", 7, 3)]
+    a = spark.createDataFrame([(i, *x, "c") for i, x in enumerate(left)], "i int, chrom string, l int, r int, start string")
+    b = spark.createDataFrame([(i, *x) for i, x in enumerate(right)], "j int, chrom string, start int, end int")
+    ok = lambda x: None not in x and x[2] > x[1]
+    want = sorted((i, j) for i, x in enumerate(left) for j, y in enumerate(right) if ok(x) and ok(y) and x[0] == y[0] and x[1] < y[2] and x[2] > y[1])
+    assert sorted((r["i"], r["b_j"]) for r in intervals.overlap_join(a, b, size=size).collect()) == want
+    hit = {i for i, _ in want}
+    assert sorted(r["i"] for r in intervals.within(a, b, "l", "r", 16).collect()) == sorted(hit)
+    assert sorted(r["i"] for r in intervals.exclude(a, b, "l", "r", 16).collect()) == sorted(set(range(len(left))) - hit)
+    assert {r["i"] for r in intervals.flag_overlap(a, b, "l", "r").where("overlaps").collect()} == hit
+    for x, y in ((a.limit(0), b), (a, b.limit(0))):
+        assert intervals.overlap_join(x, y).count() == 0 and intervals.within(x, y, "l", "r").count() == 0

@@ -1,6 +1,7 @@
 """Literal fixtures of coverage, step algebra, statistics and scores."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,7 +61,47 @@ def test_along_carries_across_shards(spark):
 def test_islands_of_equal_rows(spark):
     df = spark.createDataFrame([("a", s, e) for s, e in ((1, 3), (10, 12), (10, 12), (10, 12), (11, 20), (30, 31), (30, 31))], "k string, s long, e long")
     got = islands(df, ["k"], "s", "e", shard=4).groupBy("island").agg(F.min("s"), F.max("e"), F.count("*")).orderBy("island").collect()
-    assert [tuple(r) for r in got] == [(1, 1, 3, 1), (2, 10, 20, 4), (3, 30, 31, 2)]
+    assert [tuple(r)[1:] for r in got] == [(1, 3, 1), (10, 20, 4), (30, 31, 2)]
+
+
+@pytest.mark.parametrize("shard", [2, 7, 1000])
+def test_islands_and_runs_across_shards(spark, shard):
+    rng = random.Random(shard)
+    data = [(rng.choice(["a", "b", None]), s, s + rng.choice([1, 2, 3, 9, 40])) for s in (rng.randrange(400) for _ in range(200))]
+    for gap in (0, 3):
+        want = []
+        for k in ("a", "b", None):
+            reach = None
+            for s, e in sorted((s, e) for kk, s, e in data if kk == k):
+                if reach is None or s - reach > gap:
+                    want.append([k or "", s, e, 0])
+                want[-1][2], want[-1][3] = max(want[-1][2], e), want[-1][3] + 1
+                reach = max(reach or e, e)
+        got = islands(spark.createDataFrame(data, "k string, s long, e long"), ["k"], "s", "e", gap, shard=shard).groupBy("k", "island").agg(F.max("e"), F.count("*")).collect()
+        assert sorted([r[0] or "", *r[1:]] for r in got) == sorted(want)
+    at, segs = 0, []
+    for _ in range(200):
+        n = rng.choice([1, 2, 5, 30])
+        segs.append(("a", at, at + n, rng.choice([1.0, 1.0, 2.0, None])))
+        at += n + (rng.random() < 0.1)
+    want = []
+    for _, s, e, v in segs:
+        if want and want[-1][1] == s and want[-1][2] == v:
+            want[-1][1] = e
+        else:
+            want.append([s, e, v])
+    assert [list(r)[1:] for r in step.rle(spark.createDataFrame(segs, "chrom string, start long, end long, value double"), shard=shard).orderBy("start").select("chrom", "start", "end", "value").collect()] == want
+
+
+def test_together_is_the_alignment_of_pileups(spark, rows):
+    rng = random.Random(12)
+    mk = lambda n, far: spark.createDataFrame([(rng.choice(["a", "b"]), s, s + rng.randrange(1, 30)) for s in (rng.randrange(far) for _ in range(n))] + [("a", None, 3), (None, 1, 2), ("b", 5, 5)], "chrom string, l long, r long")
+    one, two = mk(60, 300), mk(40, 200)
+    for how in ("inner", "outer"):
+        got = pileup.together({"x": {"df": one, "scale": 0.5}, "y": {"df": two, "baseline": 1.0}}, how, shard=16)
+        want = step.align({"x": pileup.pileup(one, scale=0.5), "y": pileup.pileup(two, baseline=1.0)}, how)
+        key = lambda r: (r[0], r[1])
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
 
 
 def test_overlays(spark):

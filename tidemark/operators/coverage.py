@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Axis units per shard. An entity's boundary rows (at most three a shard) are all that meets in one task.
-SHARD = 1 << 18
+#: Shards of the axis. An entity's boundary rows (at most three a shard) are all that meets in one task.
+SHARDS = 1 << 14
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+#: Types an axis may have: how they become whole numbers, and back.
+AXES = {
+    "tinyint": ("cast({c} as bigint)", "cast({c} as tinyint)"),
+    "smallint": ("cast({c} as bigint)", "cast({c} as smallint)"),
+    "int": ("cast({c} as bigint)", "cast({c} as int)"),
+    "bigint": ("{c}", "{c}"),
+    "date": ("cast(unix_date({c}) as bigint)", "date_from_unix_date(cast({c} as int))"),
+    "timestamp": ("unix_micros({c})", "timestamp_micros({c})"),
+    "timestamp_ntz": (f"timestampdiff(MICROSECOND, {_EPOCH}, {{c}})", f"{_EPOCH} + make_dt_interval(0, 0, 0, cast({{c}} div 1000000 as decimal(18, 0))) + make_dt_interval(0, 0, 0, cast({{c}} % 1000000 as decimal(18, 0)) / 1000000)"),
+}
+
 
+def periods_and_gaps(df: DataFrame, entity: list[str], start: str, end: str, shard: int | None = None) -> DataFrame:
+    """``(entity, kind, seg_start, seg_end)`` with kind ``period`` or ``gap``; the ends have the type of ``start``.
 
-def periods_and_gaps(df: DataFrame, entity: list[str], start: str, end: str, shard: int = SHARD) -> DataFrame:
-    """``(entity, kind, seg_start, seg_end)`` with kind ``period`` or ``gap``.
+    The axis may be of whole numbers, dates or timestamps. Rows with a null entity column, start or end, or ``end <=
+    start``, take no part. Intervals that overlap or touch join; repeated rows change nothing; a lone interval is a
+    period; an empty table gives no rows.
 
-    Rows with a null entity column, start or end, or ``end <= start``, take no part. Intervals that overlap or touch
-    join; repeated rows change nothing; a lone interval is a period; an empty table gives no rows.
+    Without ``shard`` its width is the greater of the axis in ``SHARDS`` parts and the mean interval, from one pass over
+    the two columns: so all rows together have at most two pieces each on average, and one at most ``SHARDS`` + 1.
 
     1. Clip every interval to position shards and keep the longest piece of each (entity, shard, start): at most one
        row per start position, folded before the shuffle.
@@ -23,12 +40,20 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: str, end: str, sha
        across edges and the gaps between shards come out.
     """
     keys = [f"e{i}" for i in range(len(entity))]
-    size = F.lit(shard).cast("long")
-    rows = df.select(*(F.col(c).alias(k) for c, k in zip(entity, keys)), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    kinds = [dict(df.dtypes)[c] for c in (start, end)]
+    if not set(kinds) <= set(AXES):
+        raise TypeError(f"no axis of type {kinds}: {', '.join(AXES)} are")
+    number = [F.expr(AXES[t][0].format(c=f"`{c}`")) for t, c in zip(kinds, (start, end))]
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(entity, keys)), number[0].alias("s"), number[1].alias("e"))
     ok = F.col("e") > F.col("s")
     for k in keys:
         ok = ok & F.col(k).isNotNull()
-    first, last = F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size)
+    if shard is None:
+        a = rows.where(ok).agg(F.min("s").alias("lo"), F.max("e").alias("hi"), F.avg((F.col("e") - F.col("s")).cast("double")).alias("mean")).first()
+        shard = 1 if a["lo"] is None else max(1, -(-(a["hi"] - a["lo"]) // SHARDS), math.ceil(a["mean"]))
+    size = F.lit(shard).cast("long")
+    cell = lambda c: F.expr(f"({c} - pmod({c}, {shard}L)) div {shard}L")  # noqa: E731  whole numbers: doubles would lose microseconds
+    first, last = cell("s"), cell("(e - 1)")
     pieces = (
         rows.where(ok)
         .select("*", F.explode(F.sequence(first, last)).alias("sh"))
@@ -48,7 +73,7 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: str, end: str, sha
         .withColumn("next", F.lead("s").over(w))
     )
     edge = F.col("prev").isNull() | F.col("next").isNull() | (F.col("s") == F.col("sh") * size) | (F.col("e") == (F.col("sh") + 1) * size)
-    seg = lambda kind, s, e: F.struct(F.lit(kind).alias("kind"), s.cast("int").alias("seg_start"), e.cast("int").alias("seg_end"))
+    seg = lambda kind, s, e: F.struct(F.lit(kind).alias("kind"), s.alias("seg_start"), e.alias("seg_end"))
     inner = merged.select(*keys, F.inline(F.filter(F.array(F.when(~edge, seg("period", F.col("s"), F.col("e"))), F.when(F.col("next").isNotNull(), seg("gap", F.col("e"), F.col("next")))), lambda x: x.isNotNull())))
     we = Window.partitionBy(*keys).orderBy("s")
     before = F.max("e").over(we.rowsBetween(Window.unboundedPreceding, -1))
@@ -61,4 +86,5 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: str, end: str, sha
     )
     joined = edges.groupBy(*keys, "isle").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.when(F.col("closes") & (F.col("follows") > F.col("e")), F.col("follows"))).alias("follows"))
     outer = joined.select(*keys, F.inline(F.filter(F.array(seg("period", F.col("s"), F.col("e")), F.when(F.col("follows").isNotNull(), seg("gap", F.col("e"), F.col("follows")))), lambda x: x.isNotNull())))
-    return inner.unionByName(outer).select(*(F.col(k).alias(c) for c, k in zip(entity, keys)), "kind", "seg_start", "seg_end")
+    back = [F.expr(AXES[kinds[0]][1].format(c=c)).alias(c) for c in ("seg_start", "seg_end")]
+    return inner.unionByName(outer).select(*(F.col(k).alias(c) for c, k in zip(entity, keys)), "kind", *back)

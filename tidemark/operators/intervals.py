@@ -5,14 +5,14 @@ Intervals are half-open ``[start, end)`` with a ``chrom``. Rows with a null chro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import SHARD, along, islands
 from tidemark.operators.step import align
 
-#: Bin width of the overlap join; about two to four times the usual interval.
-BIN = 1 << 12
+#: Bin width of the overlap join for the shortest intervals; each class of longer ones has bins of STEP times the width.
+BIN, STEP, CLASSES = 1 << 12, 16, 6
 
 
 def valid(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
@@ -51,54 +51,89 @@ def jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
     return common.crossJoin(united).select("*", F.try_divide(F.col("common"), F.col("united")).alias("jaccard"))  # one row each
 
 
+def _hits(df: DataFrame, regions: DataFrame, start: str, end: str, shard: int) -> DataFrame:
+    """The distinct ``(_hc, _hs, _he)`` of ``df`` that overlap a region.
+
+    Regions are merged, so of all that begin before an interval's end the last one reaches farthest: it alone decides. It
+    is carried along the axis, without join or pairs. Only distinct intervals are asked, however many rows share one.
+    """
+    spots = valid(df, start, end).select("chrom", F.col(start).cast("long").alias("_hs"), F.col(end).cast("long").alias("_p")).distinct()
+    none = F.lit(None).cast("long")
+    told = merge(regions).select("chrom", none.alias("_hs"), F.col("start").alias("_p"), F.lit(1).alias("_k"), F.col("end").alias("_e"))
+    both = spots.select("*", F.lit(0).alias("_k"), none.alias("_e")).unionByName(told)
+    run = along(both, ["chrom"], "_p", ties=["_k"], fills={"_f": F.col("_e")}, shard=shard)
+    return run.where((F.col("_k") == 0) & (F.col("_f") > F.col("_hs"))).select(F.col("chrom").alias("_hc"), "_hs", F.col("_p").alias("_he"))
+
+
+def _is_hit(start: str, end: str):
+    return (F.col("chrom") == F.col("_hc")) & (F.col(start) == F.col("_hs")) & (F.col(end) == F.col("_he"))
+
+
 def flag_overlap(df: DataFrame, regions: DataFrame, start: str = "start", end: str = "end", name: str = "overlaps", shard: int = SHARD) -> DataFrame:
-    """``df`` with a boolean: does the row overlap any region?
+    """``df`` with a boolean: does the row overlap any region? Rows that are no intervals overlap nothing.
 
-    Regions are merged, so of all that begin before the row's end the last one reaches farthest: it alone decides. It is
-    carried along the axis, without join or pairs, so dense regions and hot stretches cost no more than sparse ones.
-    Rows that are no intervals overlap nothing.
+    The rows themselves move once, to the answer of their interval; a hot interval is a skewed join key, which AQE splits.
     """
-    cols = df.columns
-    ask = df.select("chrom", F.coalesce(F.col(end).cast("long"), F.lit(0)).alias("_p"), F.lit(0).alias("_k"), F.struct(*cols).alias("_row"), F.lit(None).cast("long").alias("_e"))
-    told = merge(regions).select("chrom", F.col("start").alias("_p"), F.lit(1).alias("_k"), F.lit(None).cast(ask.schema["_row"].dataType).alias("_row"), F.col("end").alias("_e"))
-    run = along(ask.unionByName(told), ["chrom"], "_p", ties=["_k"], fills={"_f": F.col("_e")}, shard=shard).where("_k = 0")
-    hit = F.coalesce((F.col("_f") > F.col(f"_row.{start}")) & (F.col(f"_row.{end}") > F.col(f"_row.{start}")) & F.col("_row.chrom").isNotNull(), F.lit(False))
-    return run.select("_row.*", hit.alias(name))
+    hits = _hits(df, regions, start, end, shard)
+    return df.join(hits, _is_hit(start, end), "left").select(*df.columns, F.col("_hc").isNotNull().alias(name))
 
 
-def exclude(df: DataFrame, regions: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+def exclude(df: DataFrame, regions: DataFrame, start: str = "start", end: str = "end", shard: int = SHARD) -> DataFrame:
     """The rows that overlap no region (all columns, repeated rows kept)."""
-    return flag_overlap(df, regions, start, end, "_hit").where("not _hit").drop("_hit")
+    return df.join(_hits(df, regions, start, end, shard), _is_hit(start, end), "left_anti")
 
 
-def within(df: DataFrame, regions: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+def within(df: DataFrame, regions: DataFrame, start: str = "start", end: str = "end", shard: int = SHARD) -> DataFrame:
     """The rows that overlap a region."""
-    return flag_overlap(df, regions, start, end, "_hit").where("_hit").drop("_hit")
+    return df.join(_hits(df, regions, start, end, shard), _is_hit(start, end), "left_semi")
 
 
 def hosts(inner: DataFrame, outer: DataFrame, columns: list[str], shard: int = SHARD) -> DataFrame:
-    """Rows of ``inner`` with ``host``: a struct of ``columns`` of the disjoint ``outer`` region that holds them; null without."""
-    cols = inner.columns
-    ask = inner.select("chrom", F.col("start").cast("long").alias("_p"), F.lit(1).alias("_k"), F.struct(*cols).alias("_row"))
+    """Rows of ``inner`` with ``host``: a struct of ``columns`` of the disjoint ``outer`` region that holds them; null without.
+
+    Distinct starts are asked once; whether the region reaches far enough is decided row by row.
+    """
+    spots = inner.where("chrom is not null and start is not null").select("chrom", F.col("start").cast("long").alias("_p")).distinct().withColumn("_k", F.lit(1))
     told = outer.select("chrom", F.col("start").cast("long").alias("_p"), F.lit(0).alias("_k"), F.struct(*columns, F.col("end").alias("_end")).alias("_h"))
-    both = ask.unionByName(told, allowMissingColumns=True)
-    run = along(both, ["chrom"], "_p", ties=["_k"], fills={"host": F.col("_h")}, shard=shard).where("_k = 1")
-    return run.select("_row.*", F.when(F.col("host._end") >= F.col("_row.end"), F.struct(*(F.col(f"host.{c}").alias(c) for c in columns))).alias("host"))
+    run = along(spots.unionByName(told, allowMissingColumns=True), ["chrom"], "_p", ties=["_k"], fills={"_f": F.col("_h")}, shard=shard).where("_k = 1")
+    answers = run.select(F.col("chrom").alias("_hc"), F.col("_p").alias("_hs"), "_f")
+    host = F.when(F.col("_f._end") >= F.col("end"), F.struct(*(F.col(f"_f.{c}").alias(c) for c in columns)))
+    return inner.join(answers, (F.col("chrom") == F.col("_hc")) & (F.col("start") == F.col("_hs")), "left").select(*inner.columns, host.alias("host"))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, a_cols: tuple[str, str] = ("l", "r"), b_cols: tuple[str, str] = ("start", "end"), size: int = BIN) -> DataFrame:
     """All pairs of overlapping rows: ``a``'s columns, then ``b``'s with the prefix ``b_``.
 
-    Both sides go to the bins they touch and meet by an equi-join; a pair comes out only in the bin of its later start,
-    so none repeats. Fold repeated intervals of a hot stretch before (``skew.value_frequencies``) where only counts matter.
+    An interval's class is the least one whose bins are as wide as it is long. A pair meets in the bins of the longer
+    one's class, of which either touches two at most, and comes out only in the bin of its later start, so none repeats;
+    no interval is cut into many pieces, however long. ``a`` goes only to classes that ``b`` has (at most ``CLASSES``
+    numbers, asked of ``b`` first). A dense bin is a skewed join key, which AQE splits. Fold repeated intervals of a hot
+    stretch before (``skew.value_frequencies``) where only counts matter.
     """
     (al, ar), (bl, br) = a_cols, b_cols
-    bins = lambda l, r: F.explode(F.sequence(F.floor(F.col(l) / size), F.floor((F.col(r) - 1) / size))).alias("_bin")
-    left = valid(a, al, ar).select("*", bins(al, ar))
-    right = valid(b, bl, br).select(*(F.col(c).alias(f"b_{c}") for c in b.columns)).select("*", bins(f"b_{bl}", f"b_{br}").alias("b__bin"))
-    on = (F.col("chrom") == F.col("b_chrom")) & (F.col("_bin") == F.col("b__bin")) & (F.col(al) < F.col(f"b_{br}")) & (F.col(ar) > F.col(f"b_{bl}"))
-    owner = F.floor(F.greatest(F.col(al), F.col(f"b_{bl}")) / size) == F.col("_bin")
-    return left.join(right, on & owner).drop("_bin", "b__bin", "b_chrom")
+    width = lambda k: F.lit(float(size)) * F.pow(F.lit(float(STEP)), k)
+
+    def level(l: str, r: str) -> Column:
+        out = F.lit(CLASSES - 1)
+        for k in range(CLASSES - 2, -1, -1):
+            out = F.when(F.col(r) - F.col(l) <= size * STEP**k, k).otherwise(out)
+        return out
+
+    def placed(df: DataFrame, l: str, r: str, levels: Column, tag: str) -> DataFrame:
+        own = df.withColumn(f"{tag}own", level(l, r)).select("*", F.explode(levels).alias(f"{tag}lv"))
+        bins = F.sequence(F.floor(F.col(l) / width(F.col(f"{tag}lv"))), F.floor((F.col(r) - 1) / width(F.col(f"{tag}lv"))))
+        return own.select("*", F.explode(bins).alias(f"{tag}bin"))
+
+    right = valid(b, bl, br).select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    found = sorted(right.agg(F.collect_set(level(f"b_{bl}", f"b_{br}")).alias("x")).first()["x"])
+    own = F.col("_own")
+    to = F.filter(F.array(*map(F.lit, range(CLASSES))), lambda k: ((k == own) & F.lit(bool(found)) & (own >= (found or [0])[0])) | ((k > own) & k.isin(found))) if found else F.array().cast("array<int>")
+    left = placed(valid(a, al, ar), al, ar, to, "_")
+    right = placed(right, f"b_{bl}", f"b_{br}", F.sequence(F.col("b__own"), F.lit(CLASSES - 1)), "b__")
+    on = (F.col("chrom") == F.col("b_chrom")) & (F.col("_lv") == F.col("b__lv")) & (F.col("_bin") == F.col("b__bin")) & (F.col(al) < F.col(f"b_{br}")) & (F.col(ar) > F.col(f"b_{bl}"))
+    meet = (F.col("_own") == F.col("_lv")) | (F.col("b__own") == F.col("_lv"))
+    owner = F.floor(F.greatest(F.col(al), F.col(f"b_{bl}")) / width(F.col("_lv"))) == F.col("_bin")
+    return left.join(right, on & meet & owner).drop("_bin", "b__bin", "_lv", "b__lv", "_own", "b__own", "b_chrom")
 
 
 def points_in_windows(points: DataFrame, windows: DataFrame, w: int = 0, pos: str = "pos", size: int = BIN) -> DataFrame:

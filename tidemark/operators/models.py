@@ -115,9 +115,7 @@ def digested(frags: DataFrame, weights: DataFrame) -> dict[str, DataFrame]:
 def bin_signals(signals: dict[str, DataFrame], regions: DataFrame, size: int = 10) -> DataFrame:
     """``(chrom, start, end, bin_end, short, mono, di, tri)``: each signal at the bin's last base, 0 where there is none."""
     rows = intervals.bins(regions, size).select("chrom", F.col("region.start").alias("start"), F.col("region.end").alias("end"), "bin_end")
-    for name, signal in signals.items():
-        rows = step.sample_at(signal, rows).withColumn("value", F.coalesce("value", F.lit(0.0))).withColumnRenamed("value", name)
-    return rows
+    return step.sample_many(signals, rows).fillna(0.0, list(signals))
 
 
 class StateModel:

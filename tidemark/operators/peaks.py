@@ -11,7 +11,6 @@ from tidemark.functions.scores import log_lr, log_lr_sym
 from tidemark.operators import intervals
 from tidemark.operators.ordered import islands
 from tidemark.operators.step import align, weighted_mean
-from tidemark.plans.tables import stage
 
 
 def runs(df: DataFrame, passing: Column, max_gap: int, keys: list[str] | None = None) -> DataFrame:
@@ -22,10 +21,10 @@ def runs(df: DataFrame, passing: Column, max_gap: int, keys: list[str] | None =
 def summits(segments: DataFrame, value: str = "value", carry: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
     """``(keys, island, start, end, summit, top, *carry)``: bounds of each island and where its value is greatest.
 
-    Of n segments that share the greatest value the one at place (n + 1) // 2 is taken, and its midpoint.
+    Of n segments that share the greatest value the one at place (n + 1) // 2 is taken, and its midpoint. Segments are read
+    twice (their islands are a written table), so a giant island meets in one task only with its ties.
     """
     keys = [*(keys or ["chrom"]), "island"]
-    segments = stage(segments, "island-segments")  # read twice; a giant island never meets in one task
     bounds = segments.groupBy(*keys).agg(F.min("start").alias("p_start"), F.max("end").alias("p_end"), F.max(value).alias("p_top"))
     ties = segments.join(bounds, keys).where(F.col(value) == F.col("p_top"))
     w = Window.partitionBy(*keys)

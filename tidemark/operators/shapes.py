@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,84 +13,106 @@ from tidemark.operators import intervals
 
 
 def slope(signal: np.ndarray, window: int) -> np.ndarray:
-    """First derivative by a moving least-squares parabola over an odd window, with point-reflected ends, to 16 decimals."""
+    """First derivative by a moving least-squares parabola over an odd window, to 16 decimals.
+
+    Its linear coefficient is the sum of k * y(k) over that of k * k. Before the start the signal is mirrored below its
+    first value, after the end above its last.
+    """
     half = max(1, window // 2)
-    if len(signal) == 0:
-        return np.zeros(0)
+    if len(signal) <= half:
+        return np.zeros(len(signal))
     k = np.arange(-half, half + 1)
-    pad = np.concatenate([2 * signal[0] - signal[1 : half + 1][::-1], signal, 2 * signal[-1] - signal[-half - 1 : -1][::-1]]) if len(signal) > half else np.pad(signal, half, mode="edge")
-    return np.round(np.convolve(pad, k[::-1] / np.sum(k * k), mode="valid"), 16)
+    before, after = np.abs(signal[half:0:-1] - signal[0]), np.abs(signal[-2 : -half - 2 : -1] - signal[-1])
+    wide = np.concatenate([signal[0] - before, signal, signal[-1] + after])
+    return np.round(np.lib.stride_tricks.sliding_window_view(wide, 2 * half + 1) @ k / (k @ k), 16)
 
 
 def maxima(signal: np.ndarray, window: int) -> np.ndarray:
-    """Positions where the slope's sign falls."""
-    return np.where(np.diff(np.sign(slope(signal, window))) <= -1)[0].astype(int)
+    """The last position of each run of equal slope sign that a run of lower sign follows."""
+    sign = np.sign(slope(signal, window))
+    return np.flatnonzero(sign[1:] < sign[:-1])
+
+
+def dips(signal: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """The first lowest position between each two neighbours, the right one excluded."""
+    return np.array([a + signal[a:b].argmin() for a, b in pairwise(spots)], int)
 
 
 def peaky(signal: np.ndarray, spots: np.ndarray, least: int = 50, distinct: int = 6) -> np.ndarray:
-    """The maxima that rise clearly above the minima beside them.
+    """The maxima that rise clearly above the dips beside them; a lone one always does.
 
-    The threshold of a region between two minima is the higher of m + sqrt(m) over both; what lies above it around the
-    maximum must be ``least`` long and take ``distinct`` values.
+    A dip of depth m sets the bar b = m + sqrt(m), the higher of two dips counts; the first maximum must clear b +
+    sqrt(b). From the dip before it to where the signal falls under the bar after it, or to the next dip, a maximum must
+    be ``least`` long and take ``distinct`` values.
     """
     if len(spots) < 2:
         return spots
-    low = np.array([a + int(np.argmin(signal[a:b])) for a, b in zip(spots[:-1], spots[1:])])
-    edges, out = [0, *low, len(signal)], []
-    for i, s in enumerate(spots):
-        floors = [signal[m] for m in low[max(0, i - 1) : i + 1]]
-        bar = max(f + np.sqrt(max(f, 0)) for f in floors)
-        if i == 0:
-            bar -= np.sqrt(max(floors[0], 0))
-        part = signal[edges[i] : edges[i + 1]] - bar
-        run = part[part > 0]
-        if len(run) >= least and len(np.unique(run)) >= distinct:
-            out.append(s)
+    low = dips(signal, spots)
+    bars = signal[low] + np.sqrt(np.maximum(signal[low], 0))
+    own = np.maximum(np.r_[bars[0] + np.sqrt(max(bars[0], 0)), bars], np.r_[-np.inf, bars[1:], -np.inf])
+    out = []
+    for spot, bar, a, b in zip(spots, own, np.r_[0, low], np.r_[low, len(signal)]):
+        under = np.flatnonzero(signal[spot:b] < bar)
+        rise = signal[a : spot + under[0]] if len(under) else signal[a:b]
+        if len(rise) >= least and len(np.unique(rise)) >= distinct:
+            out.append(spot)
     return np.array(out, int)
 
 
-def valleys(signal: np.ndarray, spots: np.ndarray, share: float = 0.9) -> np.ndarray:
-    """Summits with a value below ``share`` of the lower one between them; of two without, the higher stays."""
-    if len(spots) < 2:
-        return spots
-    kept = [spots[0]]
-    for s in spots[1:]:
-        low = np.min(signal[kept[-1] : s + 1])
-        if low < share * min(signal[kept[-1]], signal[s]):
-            kept.append(s)
-        elif signal[s] > signal[kept[-1]]:
-            kept[-1] = s
-    return np.array(kept, int)
+def valleys(signal: np.ndarray, spots: np.ndarray, share: float = 0.8) -> np.ndarray:
+    """Summits between whose neighbours the signal falls below ``share`` of the lower one.
 
-
-def profile(pdf: pd.DataFrame, lo: int, hi: int) -> np.ndarray:
+    The shallowest dip that does not goes first: of the two summits beside it the higher stays (of equal ones the first).
+    """
+    spots = np.asarray(spots, int)
+    while len(spots) > 1:
+        depth = signal[dips(signal, spots)] / np.maximum(np.minimum(signal[spots[:-1]], signal[spots[1:]]), 1e-300)
+        k = int(depth.argmax())
+        if depth[k] < share:
+            break
+        spots = np.delete(spots, k if signal[spots[k + 1]] > signal[spots[k]] else k + 1)
+    return spots
+
+
+def profile(start: np.ndarray, end: np.ndarray, value: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The values of disjoint segments at every position from ``lo`` to ``hi``; 0 between them."""
+    a, b = np.clip(start, lo, hi) - lo, np.clip(end, lo, hi) - lo
+    n = np.maximum(b - a, 0)
     out = np.zeros(hi - lo)
-    for s, e, v in zip(pdf["start"], pdf["end"], pdf["value"]):
-        out[max(s, lo) - lo : max(0, min(e, hi) - lo)] = v
+    out[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.repeat(value, n)
     return out
 
 
-def subpeaks(signal: DataFrame, regions: DataFrame, min_length: int = 200, margin: int = 10, share: float = 0.9) -> DataFrame:
+def tops(y: np.ndarray, window: int, left: int, margin: int = 10, share: float | None = None) -> np.ndarray:
+    """Offsets of the subpeaks of a region's profile ``y``, which starts at position ``left``; none where nothing stands out.
+
+    As in the published procedure the profile is padded with twice the margin before it and nothing after it (near the
+    start of the axis with what is there, and the rest behind), and the last ``margin`` positions hold no summit.
+    """
+    m = min(margin, left)
+    wide = np.concatenate([np.zeros(2 * m), y, np.zeros(margin - m)])
+    spots = maxima(wide, window)
+    spots = peaky(wide, spots[(spots >= m) & (spots <= len(y) + m)])
+    return (spots if share is None else valleys(wide, spots, share)) - 2 * m
+
+
+def subpeaks(signal: DataFrame, regions: DataFrame, min_length: int = 200, margin: int = 10, share: float | None = None) -> DataFrame:
     """``(chrom, start, end, summit, score)``: one row per subpeak of each region; its highest point where none stands out.
 
-    A region's profile is at base resolution, so a task holds one region's length of numbers.
+    With ``share`` there must also be valleys between subpeaks. A region's profile is at base resolution, so a task holds
+    one region's length of numbers.
     """
-    wide = regions.select("chrom", "start", "end", F.greatest(F.col("start") - margin, F.lit(0)).alias("ws"), (F.col("end") + margin).alias("we"))
-    pairs = intervals.overlap_join(signal, wide, ("start", "end"), ("ws", "we"))
+    pairs = intervals.overlap_join(signal, regions.select("chrom", "start", "end"), ("start", "end"), ("start", "end"))
     window = min_length // 2 * 2 + 1
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         chrom, start, end = key
-        lo, hi = max(0, start - margin), end + margin
-        y = profile(pdf, lo, hi)
-        spots = maxima(y, window)
-        spots = spots[(spots + lo >= start) & (spots + lo < end)]
-        spots = valleys(y, peaky(y, spots), share)
+        y = profile(pdf["start"].to_numpy(), pdf["end"].to_numpy(), pdf["value"].to_numpy(), start, end)
+        spots = tops(y, window, int(start), margin, share)
         if len(spots) == 0:
-            inside = y[start - lo : end - lo]
-            top = np.flatnonzero(inside == inside.max())
-            spots = np.array([top[(len(top) - 1) // 2] + start - lo])
-        return pd.DataFrame({"chrom": chrom, "start": start, "end": end, "summit": spots + lo, "score": y[spots]})
+            level = np.flatnonzero(y == y.max())
+            spots = np.array([level[(len(level) - 1) // 2]])
+        return pd.DataFrame({"chrom": chrom, "start": start, "end": end, "summit": spots + start, "score": y[np.clip(spots, 0, len(y) - 1)]})
 
     return pairs.groupBy("chrom", "b_start", "b_end").applyInPandas(one, "chrom string, start long, end long, summit long, score double")
 

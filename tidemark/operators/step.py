@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators.ordered import SHARD, along
+from tidemark.operators.ordered import SHARD, along, equal_runs
 
 
 def align(tracks: dict[str, DataFrame], how: str = "inner", value: str = "value", shard: int = SHARD) -> DataFrame:
@@ -27,7 +27,7 @@ def align(tracks: dict[str, DataFrame], how: str = "inner", value: str = "value"
     events = reduce(DataFrame.unionByName, marks)
     per = [F.max_by(F.struct("o", "v"), F.when(F.col("t") == i, F.col("o"))).alias(f"m{i}") for i in range(len(tracks))]
     spots = events.groupBy("chrom", "start").agg(*per)
-    run = along(spots, ["chrom"], "start", leads={"end": F.col("start")}, fills={f"f{i}": F.col(f"m{i}") for i in range(len(tracks))}, shard=shard)
+    run = along(spots, ["chrom"], "start", leads={"end": F.col("start")}, fills={f"f{i}": F.col(f"m{i}") for i in range(len(tracks))}, shard=shard, written=False)
     covered = [(F.col(f"f{i}.o") == 1) for i in range(len(tracks))]
     keep = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in covered]) if how == "inner" else reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in covered])
     return run.where(F.col("end").isNotNull() & keep).select("chrom", "start", "end", *(F.col(f"f{i}.v").alias(n) for i, n in enumerate(tracks)))
@@ -36,12 +36,7 @@ def align(tracks: dict[str, DataFrame], how: str = "inner", value: str = "value"
 def rle(df: DataFrame, columns: list[str] | None = None, tolerance: float = 0.0, shard: int = SHARD) -> DataFrame:
     """Touching neighbours of equal values (within ``tolerance``) as one segment, with the first one's values."""
     columns = columns or ["value"]
-    prev = along(df, ["chrom"], "start", lags={"_e": F.col("end")} | {f"_p{i}": F.col(c) for i, c in enumerate(columns)}, shard=shard)
-    same = F.col("_e") == F.col("start")
-    for i, c in enumerate(columns):
-        eq = F.col(f"_p{i}").eqNullSafe(F.col(c)) if not tolerance else F.abs(F.col(f"_p{i}") - F.col(c)) <= tolerance
-        same = same & eq
-    runs = along(prev.withColumn("_n", F.when(same, 0).otherwise(1).cast("long")), ["chrom"], "start", sums={"_run": F.col("_n")}, shard=shard)
+    runs = equal_runs(df.select("chrom", "start", "end", *columns), ["chrom"], "start", "end", columns, tolerance, "_run", shard)
     first = [F.min_by(c, "start").alias(c) for c in columns]
     return runs.groupBy("chrom", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first).drop("_run")
 
@@ -132,14 +127,28 @@ def median_by_length(df: DataFrame, keys: list[str]) -> DataFrame:
     return weighted_percentile(freq, keys, "value", [0.5]).select(*keys, F.col("value").alias("median"))
 
 
+def sample_many(signals: dict[str, DataFrame], points: DataFrame, pos: str = "bin_end", shard: int = SHARD) -> DataFrame:
+    """``points`` with one column per signal: its value at position ``pos - 1`` (the segment that covers the bin's last base); null outside.
+
+    Distinct positions are asked once, whatever repeats there, all signals are carried along in one pass, and the answers
+    are joined back; a point with a null chrom or position has null everywhere.
+    """
+    spots = points.where(F.col("chrom").isNotNull() & F.col(pos).isNotNull()).select("chrom", F.col(pos).cast("long").alias("_p")).distinct()
+    kind = "struct<v:double,e:bigint>"
+    names = list(signals)
+    asked = spots.select("chrom", (F.col("_p") - 1).alias("start"), F.lit(1).alias("_k"), *(F.lit(None).cast(kind).alias(f"_g{i}") for i in range(len(names))))
+    rows = [asked]
+    for i, n in enumerate(names):
+        seg = F.struct(F.col("value").cast("double").alias("v"), F.col("end").cast("long").alias("e"))
+        rows.append(signals[n].where("end > start").select("chrom", F.col("start").cast("long").alias("start"), F.lit(0).alias("_k"), *((seg if k == i else F.lit(None).cast(kind)).alias(f"_g{k}") for k in range(len(names)))))
+    run = along(reduce(DataFrame.unionByName, rows), ["chrom"], "start", ties=["_k"], fills={f"_f{i}": F.col(f"_g{i}") for i in range(len(names))}, shard=shard).where("_k = 1")
+    values = run.select(F.col("chrom").alias("_c"), (F.col("start") + 1).alias("_p"), *(F.when(F.col(f"_f{i}.e") > F.col("start"), F.col(f"_f{i}.v")).alias(f"_v{i}") for i in range(len(names))))
+    return points.join(values, (F.col("chrom") == F.col("_c")) & (F.col(pos) == F.col("_p")), "left").select(*points.columns, *(F.col(f"_v{i}").alias(n) for i, n in enumerate(names)))
+
+
 def sample_at(signal: DataFrame, points: DataFrame, pos: str = "bin_end", shard: int = SHARD) -> DataFrame:
-    """``points`` with the signal's value at position ``pos - 1`` (the segment that covers the bin's last base); null outside."""
-    mine = points.select("*", (F.col(pos).cast("long") - 1).alias("_at"))
-    cols = points.columns
-    asked = mine.select("chrom", F.col("_at").alias("start"), F.struct(*cols).alias("_row"), F.lit(None).cast("struct<v:double,e:bigint>").alias("_seg"), F.lit(1).alias("_k"))
-    segs = signal.where("end > start").select("chrom", F.col("start").cast("long").alias("start"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.struct(F.col("value").cast("double").alias("v"), F.col("end").cast("long").alias("e")).alias("_seg"), F.lit(0).alias("_k"))
-    run = along(segs.unionByName(asked), ["chrom"], "start", ties=["_k"], fills={"_f": F.col("_seg")}, shard=shard).where("_k = 1")
-    return run.select("_row.*", F.when(F.col("_f.e") > F.col("start"), F.col("_f.v")).alias("value"))
+    """``points`` with the signal's ``value`` at position ``pos - 1``; null outside."""
+    return sample_many({"value": signal}, points, pos, shard)
 
 
 def elbows(table: DataFrame, threshold: float = 0.01, x: str = "cutoff", y: str = "value") -> DataFrame:

@@ -79,19 +79,15 @@ def _windows(data: DataFrame, w: int) -> DataFrame:
 def cells(treat: DataFrame, ctrl: DataFrame | None, d: int, plan: dict, shift: int = 0, lengths: DataFrame | None = None) -> DataFrame:
     """``(chrom, start, end, treat, ctrl)``: treatment coverage beside the local background."""
     kind = _kind(treat)
-    if kind == "tags":
-        t = pileup.pileup_tags(treat, d, shift, lengths=lengths, scale=plan["treat_scale"])
-    else:
-        t = pileup.pileup(pileup.clip(treat, lengths), F.col("cnt").cast("long") if kind == "counts" else None, scale=plan["treat_scale"])
-    t = stage(t, "treatment")
+    count = lambda df: F.col("cnt").cast("long") if _kind(df) == "counts" else None
+    rows = pileup.tag_intervals(treat, d, shift) if kind == "tags" else treat
+    tracks_ = {"treat": {"df": pileup.clip(rows, lengths), "weight": count(treat), "scale": plan["treat_scale"]}}
     source = treat if ctrl is None else ctrl
-    if plan["windows"]:
-        weight = {"counts": F.col("cnt").cast("long")}.get(_kind(source))
-        parts = {f"w{i}": pileup.pileup(pileup.clip(_windows(source, w), lengths), weight, scale=s, baseline=plan["lambda_bg"]) for i, (w, s) in enumerate(plan["windows"])}
-        both = step.align({"t": t} | parts, how="outer").where("t is not null")
-        bg = [F.coalesce(F.col(n), F.lit(float(plan["lambda_bg"]))) for n in parts]
-        return both.select("chrom", "start", "end", F.col("t").alias("treat"), (F.greatest(*bg) if len(bg) > 1 else bg[0]).alias("ctrl"))
-    return t.select("chrom", "start", "end", F.col("value").alias("treat"), F.lit(float(plan["lambda_bg"])).alias("ctrl"))
+    for i, (w, s) in enumerate(plan["windows"]):
+        tracks_[f"w{i}"] = {"df": pileup.clip(_windows(source, w), lengths), "weight": count(source), "scale": s, "baseline": plan["lambda_bg"]}
+    both = pileup.together(tracks_, "outer").where("treat is not null")
+    bg = [F.coalesce(F.col(n), F.lit(float(plan["lambda_bg"]))) for n in tracks_ if n != "treat"] or [F.lit(float(plan["lambda_bg"]))]
+    return both.select("chrom", "start", "end", "treat", (F.greatest(*bg) if len(bg) > 1 else bg[0]).alias("ctrl"))
 
 
 def callpeak(
@@ -130,7 +126,7 @@ def callpeak(
     larger = sc is not None and st["total"] > sc["total"] * (2 if kind != "tags" else 1)
     plan = scaling(st, sc, kind, d, g, max(slocal, d), max(llocal, slocal, d), nolambda, to_control=larger == (scale_to == "small") if sc else False)
     by = {"pscore": -math.log10(p)} if p is not None else {"qscore": -math.log10(q)}
-    c = stage(qvalue.with_qscore(qvalue.scored(cells(treat, ctrl, d, plan, shift, lengths))), "scored")
+    c = stage(qvalue.scored_pq(cells(treat, ctrl, d, plan, shift, lengths)), "scored")
     gap, least = tag_size if max_gap is None else max_gap, d if min_length is None else min_length
     out = {"cells": c}
     if cutoff_analysis:
