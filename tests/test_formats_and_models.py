@@ -99,8 +99,8 @@ def test_shapes(spark):
     assert shapes.tops(two, 61, 20).tolist() == [k - 20 for k in tops] and shapes.tops(np.zeros(300), 61, 20).tolist() == []
     bumps = np.array([0, 5, 4.9, 6, 1, 3, 2.9, 0.0])
     assert shapes.valleys(bumps, [1, 3, 5]).tolist() == [3, 5] and shapes.valleys(bumps, [1, 3], 0.99).tolist() == [1, 3]
-    low = np.concatenate([np.linspace(0, 9, 60), np.linspace(9, 4, 60), np.linspace(4, 9, 60), np.linspace(9, 0, 60)])
-    assert shapes.peaky(low, np.array([60, 180])).tolist() == [180]  # the bar of the first is 6 + sqrt(6), the last clears 6
+    low = np.concatenate([np.linspace(0, 9, 40), np.linspace(9, 4, 60), np.linspace(4, 9, 60), np.linspace(9, 0, 60)])
+    assert shapes.peaky(low, np.array([40, 160])).tolist() == [160]  # the bar of the first is 6 + sqrt(6), the last clears 6
     tags = spark.createDataFrame([("c", 480 + i % 9, 0) for i in range(40)] + [("c", 520 + i % 9, 1) for i in range(40)], "chrom string, pos int, strand int")
     named = spark.createDataFrame([("c", 450, 560, "p1")], "chrom string, start long, end long, name string")
     got = shapes.refine_by_balance(tags, named, 50, 5.0).first()
