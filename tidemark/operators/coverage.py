@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shards of the axis. An entity's boundary rows (at most three a shard) are all that meets in one task.
-SHARDS = 1 << 14
+SHARDS = 1 << 12
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 #: Types an axis may have: how they become whole numbers, and back.
 AXES = {

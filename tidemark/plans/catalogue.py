@@ -101,7 +101,7 @@ _add(
     lambda s, d: pileup.pileup(pileup.both_ends(V.fragments(s, d), 200)),
     f"""WITH {V.FRAGS}, g AS (SELECT chrom, greatest(p - 100, 0) AS l, p + 100 AS r FROM (SELECT chrom, l AS p FROM f UNION ALL SELECT chrom, r FROM f)), {V.sql_pileup("a", "g")} SELECT {_SEG}, v AS value FROM a""",
 )
-_LAMBDA = [(12, 0.9), (60, 0.18), (180, 0.06)]
+_LAMBDA = [(12 * V.DAY, 0.9), (60 * V.DAY, 0.18), (180 * V.DAY, 0.06)]
 _add(
     "local_lambda_max",
     lambda s, d: _out(pileup.local_lambda([(pileup.clip(pileup.tag_intervals(V.tags_ctrl(s, d), w, directional=False)), k) for w, k in _LAMBDA], 1.0)),
@@ -180,8 +180,8 @@ _add(
 )
 _add(
     "peaks_narrow_tags",
-    lambda s, d: peaks.call(V.signal_a(s, d), 25.0, 5, 3, strict=True),
-    f'WITH {V.SIGNAL_A}, k AS (SELECT * FROM a WHERE v > 25), {V.sql_islands("i", "k", 3)}, {V.sql_summits("u", "i")} SELECT {_SEG}, summit, top AS score FROM u WHERE e - s >= 5',
+    lambda s, d: peaks.call(V.signal_a(s, d), 30.0, 500, 300, strict=True),
+    f'WITH {V.SIGNAL_A}, k AS (SELECT * FROM a WHERE v > 30), {V.sql_islands("i", "k", 300)}, {V.sql_summits("u", "i")} SELECT {_SEG}, summit, top AS score FROM u WHERE e - s >= 500',
 )
 
 
@@ -199,11 +199,11 @@ n AS (SELECT s2.chrom, s2.s, s2.e, any_value(m) AS m, min(s1.s) AS ts, max(s1.e)
 SELECT {_SEG}, ts AS thick_start, te AS thick_end, CAST(c + CASE WHEN ts IS NULL OR ts > s THEN 1 ELSE 0 END + CASE WHEN te IS NULL OR te < e THEN 1 ELSE 0 END AS BIGINT) AS n_blocks,
 CAST(b + CASE WHEN ts IS NULL OR ts > s THEN 1 ELSE 0 END + CASE WHEN te IS NULL OR te < e THEN 1 ELSE 0 END AS BIGINT) AS block_bases, round(m, 5) AS score FROM n""",
 )
-_GRID = [5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 35.0]
+_GRID = [float(x) for x in range(4, 44, 2)]
 _add(
     "cutoff_analysis",
-    lambda s, d: _out(peaks.cutoff_table(V.signal_a(s, d), _GRID, 5, 3)),
-    f"""WITH {V.SIGNAL_A}, k AS (SELECT cutoff, chrom, s, e FROM a, (SELECT unnest({_GRID}) AS cutoff) WHERE v > cutoff), {V.sql_islands("i", "k", 3, "cutoff, chrom")}, n AS (SELECT cutoff, max(e) - min(s) AS len FROM i GROUP BY cutoff, chrom, g HAVING max(e) - min(s) >= 5)
+    lambda s, d: _out(peaks.cutoff_table(V.signal_a(s, d), _GRID, 500, 300)),
+    f"""WITH {V.SIGNAL_A}, k AS (SELECT cutoff, chrom, s, e FROM a, (SELECT unnest({_GRID}) AS cutoff) WHERE v > cutoff), {V.sql_islands("i", "k", 300, "cutoff, chrom")}, n AS (SELECT cutoff, max(e) - min(s) AS len FROM i GROUP BY cutoff, chrom, g HAVING max(e) - min(s) >= 500)
 SELECT CAST(cutoff AS DOUBLE) AS cutoff, count(*) AS npeaks, CAST(sum(len) AS BIGINT) AS lpeaks, round(avg(len), 5) AS avelpeak FROM n GROUP BY cutoff""",
 )
 _E2E_Q = 0.5
@@ -211,24 +211,31 @@ _E2E_Q = 0.5
 
 def callpeak_e2e(spark: SparkSession, d: str) -> DataFrame:
     """Coverage, background, p and q scores, gap merging and summits in one plan."""
-    cells = qvalue.with_qscore(qvalue.scored(_cells(spark, d)))
-    return _out(peaks.call_scored(cells, {"qscore": _E2E_Q}, 3, 3).where("fc >= 1.0"), n=3).select("chrom", "start", "end", "summit", "pileup", _r(F.col("fc"), 3).alias("fc"), _r(F.col("pscore"), 3).alias("pscore"), _r(F.col("qscore"), 3).alias("qscore"))
+    treat = pileup.clip(pileup.tag_intervals(V.tags_treat(spark, d), V.TREAT_EXT))
+    ctrl = pileup.clip(pileup.tag_intervals(V.tags_ctrl(spark, d), V.CTRL_EXT, directional=False))
+    cells = qvalue.scored_pq(pileup.together({"treat": {"df": treat}, "ctrl": {"df": ctrl, "scale": V.CTRL_SCALE, "baseline": 1.0}}))
+    found = _out(peaks.call_scored(cells, {"qscore": _E2E_Q}, 300, 100).where("fc >= 1.0"), n=3)
+    return found.select("chrom", "start", "end", "summit", "pileup", *(_r(F.col(c), 3).alias(c) for c in ("fc", "pscore", "qscore")))
 
 
 _E2E = _Q.replace("trunc(v0 + 1) AS k, v1 + 1 AS lam", "trunc(v0) AS k, v1 AS lam")
 _add(
     "callpeak_e2e",
     callpeak_e2e,
-    f"""{_E2E}, z AS (SELECT p.chrom, p.s, p.e, v0, v1, p.p, q.q FROM p JOIN q USING (p) WHERE q.q > {_E2E_Q}), {V.sql_islands("i", "z", 3)}, {V.sql_summits("u", "i", "v0", "v1, p, q")}
-SELECT {_SEG}, summit, top AS pileup, round((top + 1) / (v1 + 1), 3) AS fc, round(p, 3) AS pscore, round(q, 3) AS qscore FROM u WHERE e - s >= 3 AND q >= {_E2E_Q} AND (top + 1) / (v1 + 1) >= 1""",
+    f"""{_E2E}, z AS (SELECT p.chrom, p.s, p.e, v0, v1, p.p, q.q FROM p JOIN q USING (p) WHERE q.q > {_E2E_Q}), {V.sql_islands("i", "z", 100)}, {V.sql_summits("u", "i", "v0", "v1, p, q")}
+SELECT {_SEG}, summit, top AS pileup, round((top + 1) / (v1 + 1), 3) AS fc, round(p, 3) AS pscore, round(q, 3) AS qscore FROM u WHERE e - s >= 300 AND q >= {_E2E_Q} AND (top + 1) / (v1 + 1) >= 1""",
 )
 
 
+#: Extensions, background and cutoff of the differential calls.
+_DIFF_EXT, _DIFF_CTRL, _DIFF_SCALE, _DIFF_CUT = 300, 3000, 0.05, 1.0
+
+
 def _four(spark: SparkSession, d: str) -> DataFrame:
     """Differential cells: tags on both strands as two conditions, each against the control."""
     t = V.tags_treat(spark, d)
-    one, two = (pileup.pileup_tags(t.where(f"strand = {k}"), V.TREAT_EXT) for k in (0, 1))
-    b = V.signal_b(spark, d)
+    one, two = (pileup.pileup_tags(t.where(f"strand = {k}"), _DIFF_EXT) for k in (0, 1))
+    b = pileup.pileup_tags(V.tags_ctrl(spark, d), _DIFF_CTRL, directional=False, scale=_DIFF_SCALE, baseline=0.5)
     return peaks.differential(one, b, two, b, 10.0, 8.0)
 
 
@@ -236,20 +243,20 @@ _LLR = "CASE WHEN {x} > {y} THEN ({x} * ln({x} / {y}) + {y} - {x}) / ln(10) WHEN
 _asym = lambda x, y: _LLR.format(x=x, y=y, neg=f"-({x} * ln({x} / {y}) + {y} - {x}) / ln(10)")
 _sym = lambda x, y: _LLR.format(x=x, y=y, neg=f"({y} * ln({x} / {y}) + {y} - {x}) / ln(10)")
 _DIFF = (
-    f"WITH {V.TREAT}, t0 AS (SELECT * FROM tt WHERE strand = 0), t1 AS (SELECT * FROM tt WHERE strand = 1), {V.sql_tag_intervals('i0', 't0', V.TREAT_EXT)}, {V.sql_tag_intervals('i1', 't1', V.TREAT_EXT)}, {V.sql_pileup('p0', 'i0')}, {V.sql_pileup('p1', 'i1')}, {V.SIGNAL_B}, {V.sql_align('x', ['p0', 'b', 'p1'])}, "
+    f"WITH {V.TREAT}, t0 AS (SELECT * FROM tt WHERE strand = 0), t1 AS (SELECT * FROM tt WHERE strand = 1), {V.sql_tag_intervals('i0', 't0', _DIFF_EXT)}, {V.sql_tag_intervals('i1', 't1', _DIFF_EXT)}, {V.sql_pileup('p0', 'i0')}, {V.sql_pileup('p1', 'i1')}, {V.CTRL}, {V.sql_tag_intervals('ci', 'tc', _DIFF_CTRL, directional=False)}, {V.sql_pileup('b', 'ci', value=f'greatest(v * {_DIFF_SCALE}, 0.5)')}, {V.sql_align('x', ['p0', 'b', 'p1'])}, "
     "m AS (SELECT chrom, s, e, (v0 + 0.01) * 0.8 AS a1, (v1 + 0.01) * 0.8 AS b1, (v2 + 0.01) AS a2, (v1 + 0.01) AS b2 FROM x), "
     f"l AS (SELECT chrom, s, e, {_asym('a1', 'b1')} AS l1, {_asym('a2', 'b2')} AS l2, {_sym('a1', 'a2')} AS l12 FROM m)"
 )
-for _name, _cond, _sc in (("cond1", "l1 >= 0.3 AND l12 >= 0.3", "l12"), ("cond2", "l2 >= 0.3 AND l12 <= -0.3", "-l12"), ("common", "l1 >= 0.3 AND l2 >= 0.3 AND abs(l12) <= 0.3", "abs(l12)")):
+for _name, _cond, _sc in (("cond1", "l1 >= {c} AND l12 >= {c}", "l12"), ("cond2", "l2 >= {c} AND l12 <= -{c}", "-l12"), ("common", "l1 >= {c} AND l2 >= {c} AND abs(l12) <= {c}", "abs(l12)")):
     _add(
         f"bdgdiff_{_name}",
-        lambda s, d, c=_name: _out(peaks.differential_peaks(_four(s, d), 0.3, 2, 1).where(F.col("category") == c).drop("category")),
-        f'{_DIFF}, k AS (SELECT chrom, s, e, {_sc} AS v FROM l WHERE {_cond}), {V.sql_islands("i", "k", 1)} SELECT chrom, min(s) AS "start", max(e) AS "end", round(sum(v * (e - s)) / sum(e - s), 5) AS score FROM i GROUP BY chrom, g HAVING max(e) - min(s) >= 2',
+        lambda s, d, c=_name: _out(peaks.differential_peaks(_four(s, d), _DIFF_CUT, 50, 20).where(F.col("category") == c).drop("category")),
+        f'{_DIFF}, k AS (SELECT chrom, s, e, {_sc} AS v FROM l WHERE {_cond.format(c=_DIFF_CUT)}), {V.sql_islands("i", "k", 20)} SELECT chrom, min(s) AS "start", max(e) AS "end", round(sum(v * (e - s)) / sum(e - s), 5) AS score FROM i GROUP BY chrom, g HAVING max(e) - min(s) >= 50',
     )
 
 # Intervals.
 _RG = f"WITH {V.REGIONS}, rd AS (SELECT DISTINCT chrom, s, e FROM rg), {V.sql_islands('ri', 'rd')}, mr AS (SELECT chrom, min(s) AS s, max(e) AS e FROM ri GROUP BY chrom, g)"
-_IS = f"{V.FRAGS}, {V.sql_pileup('ca', 'f', where='barcode IS NOT NULL')}, ck AS (SELECT * FROM ca WHERE v >= 2), {V.sql_islands('cj', 'ck', 100)}, isl AS (SELECT chrom, min(s) AS s, max(e) AS e FROM cj GROUP BY chrom, g HAVING max(e) - min(s) >= 50)"
+_IS = f"{V.FRAGS}, {V.sql_pileup('ca', 'f', where='barcode IS NOT NULL')}, ck AS (SELECT * FROM ca WHERE v >= 1), {V.sql_islands('cj', 'ck', 100)}, isl AS MATERIALIZED (SELECT chrom, min(s) AS s, max(e) AS e FROM cj GROUP BY chrom, g HAVING max(e) - min(s) >= 50)"
 _add("regions_merge", V.merged_regions, f"{_RG} SELECT {_SEG} FROM mr")
 _add("regions_expand", lambda s, d: intervals.merge(intervals.expand(V.regions(s, d), 150)), f"WITH {V.REGIONS}, x AS (SELECT DISTINCT chrom, greatest(s - 150, 0) AS s, e + 150 AS e FROM rg), {V.sql_islands('xi', 'x')} SELECT chrom, min(s) AS \"start\", max(e) AS \"end\" FROM xi GROUP BY chrom, g")
 _add("regions_intersect", lambda s, d: intervals.intersect(V.merged_regions(s, d), V.islands(s, d)), f"{_RG}, {_IS} SELECT mr.chrom, greatest(mr.s, isl.s) AS \"start\", least(mr.e, isl.e) AS \"end\" FROM mr JOIN isl ON mr.chrom = isl.chrom AND mr.s < isl.e AND mr.e > isl.s UNION ALL SELECT {_SEG} FROM mr WHERE chrom NOT IN (SELECT chrom FROM isl)")
@@ -272,16 +279,26 @@ _add("fraglen_hist", lambda s, d: tracks.length_histogram(V.fragments(s, d)), f"
 _add("mean_template", lambda s, d: _out(tracks.totals(V.fragments(s, d).drop("cnt"))), f"WITH {V.FRAGS} SELECT count(*) AS total, CAST(sum(r - l) AS BIGINT) AS length, round(sum(r - l) / count(*), 5) AS mean_length FROM f")
 _add("totals_by_count", lambda s, d: _out(tracks.totals(tracks.cap_counts(V.fragments(s, d)))), f"WITH {V.FRAGS} SELECT CAST(sum(least(cnt, 65535)) AS BIGINT) AS total, CAST(sum((r - l) * least(cnt, 65535)) AS BIGINT) AS length, round(sum((r - l) * least(cnt, 65535)) / sum(least(cnt, 65535)), 5) AS mean_length FROM f")
 _add("refine_peaks_to_signal", lambda s, d: peaks.refine(V.coverage(s, d, "cells").where("value > 0"), V.merged_regions(s, d)), f"{_RG}, {V.FRAGS}, {V.sql_pileup('ca', 'f', where='barcode IS NOT NULL')}, k AS (SELECT ca.chrom, mr.s AS g, greatest(ca.s, mr.s) AS s, least(ca.e, mr.e) AS e, v FROM ca JOIN mr ON ca.chrom = mr.chrom AND ca.s < mr.e AND ca.e > mr.s WHERE v > 0), {V.sql_summits('u', 'k')} SELECT {_SEG}, summit, top AS score FROM u")
-_add("signal_at_bins", lambda s, d: step.sample_at(V.coverage(s, d, "cells"), intervals.bins(V.islands(s, d), 50).select("chrom", "bin_end")), f"WITH {_IS}, bn AS (SELECT chrom, unnest(range(s // 50 * 50 + 50, e // 50 * 50 + 1, 50)) AS bin_end FROM isl) SELECT bn.chrom, bin_end, v AS value FROM bn LEFT JOIN ca ON ca.chrom = bn.chrom AND ca.s < bin_end AND ca.e >= bin_end")
+_add("signal_at_bins", lambda s, d: step.sample_at(V.coverage(s, d, "cells"), intervals.bins(V.islands(s, d), 50).select("chrom", "bin_end")), f"WITH {_IS}, bn AS (SELECT chrom, unnest(range(s // 50 * 50 + 50, e // 50 * 50 + 1, 50)) AS bin_end FROM isl) SELECT bn.chrom, bin_end, CASE WHEN ca.e >= bin_end THEN v END AS value FROM bn ASOF LEFT JOIN ca ON ca.chrom = bn.chrom AND bin_end > ca.s")
 _add("top_two_barcodes", lambda s, d: tracks.top_two(V.fragments(s, d).where("barcode is not null"), ["run_id"], "barcode"), f"WITH {V.FRAGS}, n AS (SELECT run_id, barcode, count(*) AS n FROM f WHERE barcode IS NOT NULL GROUP BY run_id, barcode), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, barcode) AS rank FROM n) SELECT run_id, barcode, n, CAST(rank AS INT) AS rank FROM k WHERE rank <= 2")
 _add("weighted_percentiles", lambda s, d: skew.weighted_percentile(skew.value_frequencies(V.fragments(s, d), ["chrom"], [(F.col("r") - F.col("l")).cast("long")]), ["k0"], "v0", [0.05, 0.5, 0.95]).select(F.col("k0").alias("chrom"), "q", "value"), f"WITH {V.FRAGS}, w AS (SELECT chrom, r - l AS v, sum(count(*)) OVER (PARTITION BY chrom ORDER BY r - l) AS c, sum(count(*)) OVER (PARTITION BY chrom) AS n FROM f GROUP BY chrom, r - l), q AS (SELECT unnest([0.05, 0.5, 0.95]) AS q) SELECT chrom, CAST(q AS DOUBLE) AS q, CAST(min(v) AS BIGINT) AS value FROM w, q WHERE c >= greatest(1, ceil(CAST(q AS DOUBLE) * n)) GROUP BY chrom, q")
 _add("randsample_exact", lambda s, d: tracks.sample(V.fragments(s, d), ["chrom"], 0.25).groupBy("chrom").agg(F.count("*").alias("n")), f"WITH {V.FRAGS} SELECT chrom, CAST(floor(count(*) * 0.25) AS BIGINT) AS n FROM f GROUP BY chrom HAVING floor(count(*) * 0.25) > 0")
 
 
 # No SQL twin: array-shaped or fitted. Tests hold them against planted cases.
-_strong = lambda s, d: peaks.call(V.signal_a(s, d), 25.0, 5, 3).select("chrom", "start", "end")
-_add("subpeak_summits", lambda s, d: shapes.subpeaks(V.signal_a(s, d), _strong(s, d), 9))
-_add("wtd_refine", lambda s, d: shapes.refine_by_balance(V.tags_treat(s, d), _strong(s, d).withColumn("name", F.concat_ws("_", "chrom", "start")), 10, 5.0))
+_strong = lambda s, d: peaks.call(V.signal_a(s, d), 30.0, 500, 300, strict=True).select("chrom", "start", "end")
+_add("subpeak_summits", lambda s, d: shapes.subpeaks(V.signal_a(s, d), _strong(s, d), 500))
+_add(
+    "wtd_refine",
+    lambda s, d: _out(shapes.refine_by_balance(V.tags_treat(s, d), _strong(s, d).withColumn("name", F.concat_ws("_", "chrom", "start")), 400, 5.0)),
+    f"""WITH {V.SIGNAL_A}, k AS (SELECT * FROM a WHERE v > 30), {V.sql_islands("i", "k", 300)}, rg AS (SELECT chrom, min(s) AS s, max(e) AS e FROM i GROUP BY chrom, g HAVING max(e) - min(s) >= 500),
+sp AS (SELECT chrom, s, unnest(range(s - 400, e + 401)) AS p FROM rg), n AS (SELECT chrom, pos, strand, count(*) AS n FROM tt GROUP BY chrom, pos, strand),
+near AS (SELECT rg.chrom, rg.s, n.pos, n.strand, n.n FROM rg JOIN n ON n.chrom = rg.chrom AND n.pos BETWEEN rg.s - 800 AND rg.e + 800),
+c AS (SELECT sp.chrom, sp.s, p, coalesce(sum(n) FILTER (strand = 0 AND pos < p), 0) AS wl, coalesce(sum(n) FILTER (strand = 0 AND pos >= p), 0) AS wr, coalesce(sum(n) FILTER (strand = 1 AND pos < p), 0) AS cl, coalesce(sum(n) FILTER (strand = 1 AND pos >= p), 0) AS cr
+  FROM sp LEFT JOIN near ON near.chrom = sp.chrom AND near.s = sp.s AND near.pos BETWEEN p - 400 AND p + 400 GROUP BY sp.chrom, sp.s, p),
+m AS (SELECT chrom, s, p, 2 * sqrt(wl * cr) - wr - cl AS score, row_number() OVER (PARTITION BY chrom, s ORDER BY round(2 * sqrt(wl * cr) - wr - cl, 9) DESC, p) AS k FROM c)
+SELECT chrom, chrom || '_' || s || CASE WHEN score > 5 THEN '_R' ELSE '_F' END AS name, p AS summit, round(score, 5) AS score FROM m WHERE k = 1""",
+)
 
 
 def frag_em(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.operators import intervals, peaks, pileup
 from tidemark.plans.tables import table
 
-#: Axis settings of the day-based tag views.
-TREAT_EXT, CTRL_EXT, CTRL_SCALE = 3, 12, 0.9
+#: Axis units of a day in the tag views: a day's rows spread over it by their part or customer, so that the axis crosses many shards.
+DAY = 1000
+#: Axis settings of the tag views.
+TREAT_EXT, CTRL_EXT, CTRL_SCALE = 3 * DAY, 12 * DAY, 0.9
 
 
 def fragments(spark: SparkSession, d: str) -> DataFrame:
@@ -26,13 +28,13 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
 
 def tags_treat(spark: SparkSession, d: str) -> DataFrame:
     days = F.datediff(F.to_date("l_shipdate"), F.to_date(F.lit("1995-01-01")))
-    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("chrom"), days.alias("pos"), (F.col("l_linestatus") == "F").cast("int").alias("strand"))
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("chrom"), (days * DAY + F.col("l_partkey") % DAY).cast("int").alias("pos"), (F.col("l_linestatus") == "F").cast("int").alias("strand"))
 
 
 def tags_ctrl(spark: SparkSession, d: str) -> DataFrame:
     days = F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1995-01-01")))
     name = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
-    return table(spark, d, "orders").select(name.alias("chrom"), days.alias("pos"), (F.col("o_orderpriority") < "3").cast("int").alias("strand"))
+    return table(spark, d, "orders").select(name.alias("chrom"), (days * DAY + F.col("o_custkey") % DAY).cast("int").alias("pos"), (F.col("o_orderpriority") < "3").cast("int").alias("strand"))
 
 
 def signal_a(spark: SparkSession, d: str) -> DataFrame:
@@ -52,8 +54,8 @@ def coverage(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def islands(spark: SparkSession, d: str) -> DataFrame:
-    """Regions where cells' coverage reaches 2."""
-    return peaks.call(coverage(spark, d, "cells"), 2.0, 50, 100).select("chrom", "start", "end")
+    """Regions where cells cover the axis."""
+    return peaks.call(coverage(spark, d, "cells"), 1.0, 50, 100).select("chrom", "start", "end")
 
 
 merged_regions = lambda spark, d: intervals.merge(regions(spark, d))
@@ -61,9 +63,9 @@ merged_regions = lambda spark, d: intervals.merge(regions(spark, d))  # noqa: E7
 # SQL text of the same views.
 FRAGS = "f AS (SELECT DISTINCT frag_id, run_id, chrom, l, r, barcode, cnt FROM fragments WHERE frag_id IS NOT NULL AND chrom IS NOT NULL AND l IS NOT NULL AND r > l)"
 REGIONS = "rg AS (SELECT DISTINCT peak_id, run_id, chrom, CAST(start_pos AS BIGINT) AS s, CAST(end_pos AS BIGINT) AS e FROM peaks WHERE peak_id IS NOT NULL AND chrom IS NOT NULL AND start_pos IS NOT NULL AND end_pos > start_pos)"
-_DAYS = "date_diff('day', DATE '1995-01-01', CAST({} AS DATE))"
-TREAT = f"tt AS (SELECT l_returnflag AS chrom, {_DAYS.format('l_shipdate')} AS pos, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS strand FROM lineitem)"
-CTRL = f"tc AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS chrom, {_DAYS.format('o_orderdate')} AS pos, CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS strand FROM orders)"
+_AT = f"date_diff('day', DATE '1995-01-01', CAST({{}} AS DATE)) * {DAY} + {{}} % {DAY}"
+TREAT = f"tt AS (SELECT l_returnflag AS chrom, {_AT.format('l_shipdate', 'l_partkey')} AS pos, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS strand FROM lineitem)"
+CTRL = f"tc AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS chrom, {_AT.format('o_orderdate', 'o_custkey')} AS pos, CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END AS strand FROM orders)"
 
 
 def sql_tag_intervals(name: str, src: str, d: int, shift: int = 0, directional: bool = True) -> str:
