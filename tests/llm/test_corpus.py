@@ -48,6 +48,16 @@ def test_percentiles_are_certified(spark):
     assert digest.percentiles(df.limit(0), "chrom", ["pileup"], "peak_id", "day").count() == 0
 
 
+def test_large_top_n_of_a_hot_group(spark):
+    """More rows per group than Spark's own rank pushdown takes: parts of the group are ranked first."""
+    rng = random.Random(13)
+    data = [(i, "hot" if i % 9 else "cold", float(rng.randrange(300))) for i in range(6000)]
+    df = spark.createDataFrame(data + data[:500], "peak_id long, chrom string, score double")
+    got = topn.top_n_per_group(df, "chrom", "score", "peak_id", 1500)
+    want = sorted((g, i) for g in ("hot", "cold") for _, i in sorted((-s, i) for i, gg, s in data if gg == g)[:1500])
+    assert sorted((r["chrom"], r["peak_id"]) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("leaf_rows", [200_000, 300])
 def test_percentiles_keep_their_bound(spark, leaf_rows):
     """Days of different spread and place, whose merged clusters overlap; a group of many leaves; ties."""
