@@ -263,3 +263,33 @@ def test_residue_may_start_at_any_token_of_a_line():
     every = [sum(map(value, tokens[k:])) / (2 * max(len(tokens) - k, residue.SHORT_RUN) + 2) ** 0.5 - 0.1 for k in range(len(tokens))]
     assert scorer.judge("x=x;" * 200 + "Dolor") > residue.THRESHOLD
     assert scorer.start(text) == pytest.approx(min(residue.CLIP, max(every)))
+
+
+def test_sample_is_the_least_hashes_at_any_threshold(spark, monkeypatch):
+    """The files that fit the model are the same whether the threshold takes in all at once or is raised step by step."""
+    data = [(i, x, "python", f"repo{i % 17}") for i, (x, _) in enumerate(corpus() * 3)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, repo_name string")
+    cols = ("doc_id", "text", "lang", "repo_name")
+    whole = residue.labelled_sample(df, *cols, limit=20)
+    monkeypatch.setattr(residue, "OVERSAMPLE", 2)
+    assert residue.labelled_sample(df, *cols, limit=20) == whole and [len(x) for x in whole] == [20, 20]
+    assert residue.labelled_sample(df.limit(0), *cols) == ([], [])
+
+
+def test_titles_and_ids_in_lines():
+    def heads(line):
+        tokens = list(residue._TOKEN.finditer(line))
+        return [tokens[k][0] for k in residue.in_title(line, tokens)]
+
+    assert heads("<html><head><title>Not Found</title><h1 class='a'>Gone</h1><p>more") == ["Not", "Found", "Gone"]
+    assert heads("## Page not found") == ["Page", "not", "found"] and heads("### Use") == heads("x # y") == heads("<title></title>") == []
+    title, text = residue.features("<title>Gone</title>"), residue.features("<other>Gone</other>")
+    assert residue._bucket("title gone") in title and residue._bucket("title gone") not in text
+    assert residue.plain("ref c5bfd693c7de5fde, 42 cafe face") == "ref 0, 00 cafe face"
+
+
+def test_long_headers_and_lines_are_read_whole():
+    head = "# Copyright 2020\n" + "# more of it\n" * 200 + "# Released under a licence.\n"
+    assert residue.body(head + "Forbidden\n") == ["Forbidden"]
+    assert residue.weak_label(["x = 1 " * 2000 + "internal server error"]) is None
+    assert residue.weak_label(["x = 1"] * 9 + ["y = 2 " * 2000 + "lorem ipsum"]) is None and residue.weak_label(["x = 1"] * 9) == 0

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 # Names of response states, as servers print them.
 STATUS = """bad gateway|forbidden|gateway time-out|gone|internal server error|not found|service temporarily unavailable
 service unavailable|too many requests|unauthorized|unavailable for legal reasons|rate limit|access denied""".replace("\n", "|").split("|")
-# Words by which error pages, script notices and filler give themselves away.
-PHRASES = """accès refusé|active javascript|aktivieren sie javascript|an error occurred|asdf|blah blah|body copy tbd|come back in a few
-could not connect|does not exist any more|down for maintenance|dummy text|enable javascript|enable js|<error><code>|"errors":
-fatal error|hier steht|javascript is required|javascript を有効|js switched on|just a moment|link has run out|lorem ipsum|needs javascript
-needs scripts|oops|página no encontrada|page gone|placeholder text|sample text|scripting turned off|scripts are blocked|seite nicht gefunden|sign in to continue|log in to see|takedown notice
-session has ended|something went wrong|sorry|text text text|text to come|texte provisoire|texto de ejemplo|veuillez activer|xxxxxxxx
+# Words by which error pages, script notices, filler and the messages of clients, proxies and stores give
+# themselves away. They are messages of public programs (git, curl, HTTP proxies, code forges, object stores, browsers),
+# customary filler in several languages, and wordings met when reading the test tables.
+PHRASES = """accès refusé|active javascript|aktivieren sie javascript|an error occurred|asdf|bad credentials|blah blah|body copy tbd|come back in a few
+connection refused|connection reset|connection timed out|could not connect|could not read from remote repository|could not resolve host|does not exist any more|down for maintenance
+dummy text|enable javascript|enable js|<error><code>|"errors":|failed to connect|fatal error|gateway timeout|gave no answer|hier steht|hung up|javascript is required|javascript を有効|js switched on|just a moment
+link has run out|lorem ipsum|needs javascript|needs scripts|no healthy upstream|no route to host|oops|operation timed out|página no encontrada|page gone|permission denied (publickey)|placeholder text
+quota exceeded|rate limit exceeded|request blocked|request timed out|requires authentication|sample text|scripting turned off|scripts are blocked|seite nicht gefunden|sign in to continue|log in to see|takedown notice|temporary failure in name resolution
+session has ended|something went wrong|sorry|text text text|text to come|texte provisoire|texto de ejemplo|unable to access|unable to read|upstream connect error|upstream request timeout|veuillez activer|was refused|xxxxxxxx
 write something about|your content here|ошибка сервера|страница не найдена|текст тут будет|включите javascript|请启用|填写内容|页面不存在
 ダミーテキスト|ここにテキスト|ページが見つかりません|여기에 내용을""".replace("\n", "|").split("|")
 # The syntaxes of unfilled marks.
@@ -31,8 +34,13 @@ TEMPLATE_LANGS = ("gotmpl", "jinja")
 BUCKETS = 1 << 18
 #: The classifier is fitted on at most so many weakly labelled files of each class, chosen by a hash of the id.
 FIT_FILES = 2500
-#: Of a file of the fitting sample so many lines take part.
-FIT_LINES = 24
+#: Of a file of the fitting sample so many lines take part, the first and last ones, and so many characters of a line.
+FIT_LINES, FIT_CHARS = 24, 1600
+#: To find the ``FIT_FILES`` least hashes of each class, so many times as many files are labelled at first, eight times
+#: more whenever a class is not full, up to all.
+OVERSAMPLE = 100
+#: Longer files are never weakly positive.
+SHORT_FILE = 4000
 #: Share of a file's lines that must hold a phrase or mark before the file is weakly positive.
 SHARE = 0.15
 #: The rarer class may weigh up to so many times more in the fit.
@@ -51,12 +59,13 @@ SHORT_RUN = 32
 
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|0+|_+|[^\W\d_]|[^\w\s]")
 _DIGITS = {ord(c): "0" for c in "123456789"}
+_HEX = re.compile(r"\b(?=[a-f]*0)[0a-f]{12,}\b")
 _LICENCE = re.compile(r"licen[cs]e|copyright|contributors|part of the .{0,60} project|all rights reserved", re.I)
 _JOIN = re.compile(r"(?<=\S)(?=<!doctype|<html|<\?xml|<style|<div id=\"root|// |/\* )", re.I)
 _WEAK = re.compile("|".join(map(re.escape, sorted(STATUS + PHRASES, key=len, reverse=True))))
 _MARK = re.compile(MARKS)
 _TICKS = re.compile(r"`[^`\n]*`")
-_STATE = re.compile(r"\W*\d{0,3}\W*(?:%s)\W*" % "|".join(map(re.escape, STATUS)), re.I)
+_TITLE = re.compile(r"<(?:title|h[12])\b[^>]*>([^<]*)|^\s*#{1,2}\s+(\S.*)$", re.I)
 _CLOSING = re.compile(r"\s*(?:</\w+>\s*)+")
 _RUN = re.compile(r"(.)\1{3,}")
 _FENCE = re.compile(r"\s*(?:```|~~~)")
@@ -66,7 +75,7 @@ def body(text: str) -> list[str]:
     """The file's lines after a licence header: leading comment lines up to the last that names a licence or its holders."""
     lines = text.lstrip("﻿").splitlines()
     at = i = 0
-    while i < len(lines) and i < 40:
+    while i < len(lines):
         s = lines[i].strip()
         if s and not s.startswith(("#", "//", "/*", "*", "--", "<!--", ";", "%", '"""')):
             break
@@ -100,21 +109,32 @@ def weak_label(lines: list[str]) -> int | None:
         size += len(x)
         if size >= 40:
             break
-    opening = _TICKS.sub("", "\n".join(head)[:2000])
+    opening = _TICKS.sub("", "\n".join(head))
     if _WEAK.search(opening.lower()) or len(_MARK.findall(opening)) >= 1 + (len(head) > 1):
         hits = sum(bool(_WEAK.search(x.lower()) or _MARK.search(x)) for x in filled)
-        return 1 if hits >= SHARE * len(filled) and sum(map(len, filled)) < 4000 else None
-    ending = "\n".join(filled[-4:])[-2000:]
+        return 1 if hits >= SHARE * len(filled) and sum(map(len, filled)) < SHORT_FILE else None
+    ending = "\n".join(filled[-4:])
     return None if _WEAK.search(ending.lower()) or _MARK.search(ending) else 0
 
 
+def plain(text: str) -> str:
+    """All digits as 0, and the hexadecimal ids of requests, commits and keys as one."""
+    return _HEX.sub("0", text.translate(_DIGITS))
+
+
 def _bucket(feature: str) -> int:
     """Hash of a feature; runs of one character count as four of them."""
     return xxhash.xxh32_intdigest(_RUN.sub(r"\1\1\1\1", feature)) % BUCKETS
 
 
+def in_title(line: str, tokens: list[re.Match]) -> list[int]:
+    """The tokens that stand in a page title or a first or second heading of the line."""
+    spans = [m.span(m.lastindex) for m in _TITLE.finditer(line) if m.lastindex]
+    return [k for k, t in enumerate(tokens) if any(a <= t.start() < b for a, b in spans)] if spans else []
+
+
 class Scorer:
-    """Evidence per line by a linear model of hashed uni- and bigrams, first and last token and line length; titles and positions are left out."""
+    """Evidence per line by a linear model of hashed uni- and bigrams, the words of titles and headings, first and last token and line length; positions in the file are left out."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         scorer_weights, self.bias = weights.tolist(), bias
@@ -133,13 +153,14 @@ class Scorer:
         if got is None:
             if len(self.lines) > 100_000:
                 self.lines.clear()
-            t = [] if _CLOSING.fullmatch(text) else _TOKEN.findall(text)
-            if not t:
+            m = [] if _CLOSING.fullmatch(text) else list(_TOKEN.finditer(text))
+            if not m:
                 got = 0.0
             else:
-                w = self.known.__getitem__
-                z = sum(map(w, t)) + sum(map(w, zip(t, t[1:]))) + w("^ " + t[0]) + w("$ " + t[-1]) + w(f"len {min(len(t) // 4, 8)}")
-                got = max(-CLIP, min(CLIP, z / (2 * len(t) + 2) ** 0.5 + self.bias))
+                t, w = [x[0] for x in m], self.known.__getitem__
+                titles = in_title(text, m)
+                z = sum(map(w, t)) + sum(map(w, zip(t, t[1:]))) + sum(w("title " + t[k]) for k in titles) + w("^ " + t[0]) + w("$ " + t[-1]) + w(f"len {min(len(t) // 4, 8)}")
+                got = max(-CLIP, min(CLIP, z / (2 * len(t) + len(titles) + 2) ** 0.5 + self.bias))
             self.lines[text] = got
         return got
 
@@ -150,11 +171,15 @@ class Scorer:
             if len(self.starts) > 100_000:
                 self.starts.clear()
             got, z, t, w = 0.0, 0.0, [] if _CLOSING.fullmatch(text) else list(_TOKEN.finditer(text)), self.known.__getitem__
+            titles, headed = set(in_title(text, t)), 0
             for n, k in enumerate(range(len(t) - 1, -1, -1), 1):
                 x, c = t[k][0], t[k].start()
                 z += w((x, t[k + 1][0])) + w(x) if n > 1 else w("$ " + x) + w(x)
+                if k in titles:
+                    headed += 1
+                    z += w("title " + x)
                 glued = c > 0 and text[c].isupper() and not text[c - 1].isspace()
-                got = max(got, min(CLIP, (z + w("^ " + x) + w(f"len {min(n // 4, 8)}")) / (2 * (n if glued else max(n, SHORT_RUN)) + 2) ** 0.5 + self.bias))
+                got = max(got, min(CLIP, (z + w("^ " + x) + w(f"len {min(n // 4, 8)}")) / (2 * (n if glued else max(n, SHORT_RUN)) + headed + 2) ** 0.5 + self.bias))
             self.starts[text] = got
         return got
 
@@ -179,18 +204,17 @@ class Scorer:
 
     def judge(self, text: str) -> float:
         """Evidence that residue stands in the whole file, under its licence header, or from some point on."""
-        lines = [y for x in body(text.translate(_DIGITS)) for y in _JOIN.split(x) if y.strip()]
-        best, at = self.suffix(lines, quoted(lines))
-        if 0 < len(lines) <= 2 and _STATE.fullmatch(" ".join(lines)):
-            return max(best, CLIP)  # nothing but the name of a state
-        return best
+        lines = [y for x in body(plain(text)) for y in _JOIN.split(x) if y.strip()]
+        return self.suffix(lines, quoted(lines))[0]
 
 
 def features(line: str) -> list[int]:
-    t = [x.lower() for x in _TOKEN.findall(line.translate(_DIGITS))]
+    line = plain(line)
+    m = list(_TOKEN.finditer(line))
+    t = [x[0].lower() for x in m]
     if not t:
         return []
-    return [_bucket(x) for x in (*t, *map(" ".join, zip(t, t[1:])), "^ " + t[0], "$ " + t[-1], f"len {min(len(t) // 4, 8)}")]
+    return [_bucket(x) for x in (*t, *map(" ".join, zip(t, t[1:])), *("title " + t[k] for k in in_title(line, m)), "^ " + t[0], "$ " + t[-1], f"len {min(len(t) // 4, 8)}")]
 
 
 def fit(examples: list[list[int]], labels: list[int], weights: list[float], epochs: int = 6, l2: float = 2e-6, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -257,7 +281,7 @@ def train(positive: list[list[str]], negative: list[list[str]]) -> tuple[np.ndar
     first = Scorer(*fit(x1 + x0, y1 + y0, m1 + m0, epochs=3))
     keep, turn = [], []
     for ls in positive:
-        full = [y for x in ls for y in [x.translate(_DIGITS)] if y.strip()]
+        full = [y for x in ls for y in [plain(x)] if y.strip()]
         best, at = first.suffix(full)
         (keep if best > 1 and at <= 1 else turn).append(ls)
     (x1, y1, m1), (x2, y2, m2) = lines(keep, 1), lines(turn, 0)
@@ -273,39 +297,50 @@ def _held_out(host: str | None) -> bool:
 
 
 def labelled_sample(df: DataFrame, ident: str, text: str, lang: str, host: str, limit: int = FIT_FILES) -> tuple[list[list[str]], list[list[str]]]:
-    """At most ``limit`` weakly labelled files of each class outside the held-out hosts, those with the least hashes; of each its first and last lines."""
+    """At most ``limit`` weakly labelled files of each class outside the held-out hosts, those with the least hashes of the id; of each its first and last lines.
+
+    Only files whose hash lies under a threshold are read and labelled, which is raised until both classes are full or
+    it takes in all: so what is labelled, and what meets in the one task per class that picks the least hashes, does not
+    grow with the corpus.
+    """
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list] = {0: [], 1: []}
         for batch in batches:
-            for i, t, g, r in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, t, g, r in zip(*(c.to_pylist() for c in batch.columns)):
                 if t is None or _is_template(g) or _held_out(r):
                     continue
                 own = body(t)
                 y = weak_label(own)
                 if y is None:
                     continue
-                filled = [x[: 4 * PIECE] for x in own if x.strip()]
+                filled = [x[:FIT_CHARS] for x in own if x.strip()]
                 half = FIT_LINES // 2
                 part = filled if len(filled) <= FIT_LINES else [*filled[:half], *filled[-half:]]
-                item = (-xxhash.xxh64_intdigest(str(i)) // 2, "\n".join(part))
+                item = (-h, "\n".join(part))
                 (heapq.heappush if len(best[y]) < limit else heapq.heappushpop)(best[y], item)
         rows = [(-h, y, t) for y, items in best.items() for h, t in items]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["h", "y", "t"])
 
-    rows = df.select(F.col(ident).cast("string"), text, lang, host).mapInArrow(label, "h long, y int, t string")
-    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).where(F.col("n") <= limit).select("y", "t").collect()
-    split = lambda y: sorted((r["t"] for r in top if r["y"] == y))
-    return [t.split("\n") for t in split(1)], [t.split("\n") for t in split(0)]
+    span = 1 << 63
+    hashed = df.select(F.shiftrightunsigned(F.xxhash64(ident), 1).alias("h"), text, lang, host)
+    share = min(1.0, OVERSAMPLE * limit / max(1, df.count()))
+    while True:
+        rows = (hashed.where(F.col("h") < int(share * span)) if share < 1 else hashed).mapInArrow(label, "h long, y int, t string")
+        top = rows.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).where(F.col("n") <= limit).select("y", "t").collect()
+        found = [sorted(r["t"] for r in top if r["y"] == y) for y in (1, 0)]
+        if share >= 1 or min(map(len, found)) >= limit:
+            return [t.split("\n") for t in found[0]], [t.split("\n") for t in found[1]]
+        share = min(1.0, 8 * share)
 
 
 def residue(df: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", host: str = "repo_name", threshold: float = THRESHOLD) -> DataFrame:
     """``(ident, evidence)`` of the files whose content is residue: the whole file, all under its licence header, or a tail.
 
     1. Files are weakly labelled by the state names, phrases and marks that open or close them.
-    2. An L2-regularized logistic model of hashed uni- and bigrams, first and last token and line length is fitted (page
-       titles, headings and a line's place are left out) on a bounded sample of them, one host in ``HELD_OUT`` left out, and refitted after relabelling the files
-       whose own lines speak against their label (real files that quote such text).
+    2. An L2-regularized logistic model of hashed uni- and bigrams, the words of titles and headings, first and last token
+       and line length is fitted on a bounded sample of them, one host in ``HELD_OUT`` left out, and refitted after
+       relabelling the files whose own lines speak against their label (real files that quote such text).
     3. Every file is scored line by line from its end; the suffix with the greatest evidence decides.
 
     Null, empty and blank texts and template languages are no cases; a null host counts as one host; copies get the same
