@@ -1,19 +1,86 @@
 import math
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import variants as V
 
 
+def read_bases(at, cigar_text, seq, qual, md):
+    """By hand: (position, allele, reference base, quality, at the read's end) for every reference base the read covers."""
+    cigar = [(int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar_text)]
+    ref = V.reference_bases(seq, cigar, md)
+    out, p, q, r = [], at, 0, 0
+    for n, op in cigar:
+        if op in "M=X":
+            out += [[p + k, seq[q + k], ref[r + k], qual[q + k]] for k in range(n)]
+            p, q, r = p + n, q + n, r + n
+        elif op == "D":
+            out += [[p + k, "*", ref[r + k], qual[min(q, len(qual) - 1)]] for k in range(n)]
+            p, r = p + n, r + n
+        elif op == "N":
+            p += n
+        elif op == "I":
+            if out:
+                out[-1][1] += seq[q : q + n]
+            q += n
+        elif op == "S":
+            q += n
+    return [(*x, i in (0, len(out) - 1)) for i, x in enumerate(out)]
+
+
 def test_reference_and_bases():
     cigar = [(2, "S"), (4, "M"), (1, "I"), (3, "M"), (2, "D"), (2, "M")]
     seq = "NNACGTGTTACC"
     assert V.reference_bases(seq, cigar, "1A5^GG2") == "AAGTTTAGGCC"
-    got = V.read_bases(100, "2S4M1I3M2D2M", seq, bytes([30] * 12), "1A5^GG2")
+    got = read_bases(100, "2S4M1I3M2D2M", seq, bytes([30] * 12), "1A5^GG2")
     assert got[1][:3] == (101, "C", "A") and got[3][1] == "TG" and got[7][1] == "*" and len(got) == 11
 
 
+def test_bases_of_a_batch():
+    rng = random.Random(4)
+    reads = []
+    for _ in range(200):
+        ops, md, size, aligned, run = [], "", 0, 0, 0
+        shape = [("S", 2)] * rng.randrange(2) + [("M", rng.randrange(1, 6))] + [(rng.choice("IDN"), rng.randrange(1, 4)) for _ in range(rng.randrange(2))]
+        shape += [("M", rng.randrange(1, 6))] * (shape[-1][0] != "M") + [("D", 1), ("M", 1)] * rng.randrange(2) + [("S", 1)] * rng.randrange(2)
+        for o, n in shape:
+            ops.append(f"{n}{o}")
+            size += n * (o in "MIS")
+            if o == "M":
+                for _ in range(n):
+                    if rng.random() < 0.3:
+                        md, run = md + f"{run}" + rng.choice("ACGT"), 0
+                    else:
+                        run += 1
+            if o == "D":
+                md, run = md + f"{run}^" + "".join(rng.choice("ACGT") for _ in range(n)), 0
+        reads.append((rng.randrange(1000), "".join(ops), "".join(rng.choice("ACGT") for _ in range(size)), bytes(rng.randrange(2, 41) for _ in range(size)), md + f"{run}"))
+    got = V.batch_bases(*map(list, zip(*reads)))
+    rows = list(zip(*(got[k].tolist() for k in ("read", "pos", "allele", "ref", "bq", "tip"))))
+    assert rows == [(i, *x) for i, r in enumerate(reads) for x in read_bases(*r)]
+    assert len(V.batch_bases([], [], [], [], [])["pos"]) == 0
+
+
+def test_outliers_and_strands(spark):
+    reads = [("a", f"{k % 3}S10M", "10") for k in range(99)] + [("a", "10M", "2A3^ACGT5")] + [("b", "10M", None)]
+    df = spark.createDataFrame(reads, "k string, cigar string, md string")
+    assert {(r["k"], r["e"]) for r in df.select("k", V.n_edits(F.col("cigar"), F.col("md")).alias("e")).collect()} == {("a", 0), ("a", 1), ("a", 2), ("a", 5), ("b", None)}
+    assert V.without_outliers(df, ["k"]).groupBy("k").count().orderBy("k").collect()[0]["count"] == 99
+    assert V.without_outliers(df, ["k"], 50).where("k = 'a'").count() == 66
+    assert V.strand_bias(1, 12, 12, 1) and not V.strand_bias(6, 12, 6, 1) and not V.strand_bias(0, 0, 5, 5) and not V.strand_bias(12, 12, 1, 1)
+
+
+def test_indels_are_joined(spark):
+    cols = "chrom string, pos long, ref string, alt string, gt string"
+    rows = [("c", 10, "A", "*", "1/1"), ("c", 11, "C", "*", "0/1"), ("c", 12, "G", "*", "1/1"), ("c", 20, "A", "AT", "0/1"), ("c", 21, "G", "*", "0/1"), ("c", 30, "A", "T", "1/1"), ("c", 31, "C", "*", "0/1"), ("c", 40, "T", "TT", "1/1"), ("c", 0, "G", "*", "1/1")]
+    piles = spark.createDataFrame([("c", 9, "T"), ("c", 20, "A"), ("c", 30, "A"), ("c", 9, "T")], "chrom string, pos long, ref string")
+    got = sorted(tuple(r)[1:] for r in V.fix_indels(spark.createDataFrame(rows, cols), piles).collect())
+    assert got == [(0, "G", "*", "1/1"), (9, "TACG", "T", "1/1"), (30, "A", "T", "1/1"), (31, "C", "*", "0/1"), (40, "T", "TT", "1/1")]
+
+
 def test_genotypes(spark):
     reads = []
     for i in range(40):
