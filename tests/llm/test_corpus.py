@@ -285,7 +285,7 @@ def test_titles_and_ids_in_lines():
     assert heads("## Page not found") == ["Page", "not", "found"] and heads("### Use") == heads("x # y") == heads("<title></title>") == []
     title, text = residue.features("<title>Gone</title>"), residue.features("<other>Gone</other>")
     assert residue._bucket("title gone") in title and residue._bucket("title gone") not in text
-    assert residue.plain("ref c5bfd693c7de5fde, 42 cafe face") == "ref 0, 00 cafe face"
+    assert residue.plain(residue.zeros("ref c5bfd693c7de5fde, 42 cafe face")) == "ref 0, 00 cafe face"
 
 
 def test_long_headers_and_lines_are_read_whole():

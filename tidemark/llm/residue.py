@@ -58,7 +58,7 @@ PIECE = 400
 SHORT_RUN = 32
 
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|0+|_+|[^\W\d_]|[^\w\s]")
-_DIGITS = {ord(c): "0" for c in "123456789"}
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _HEX = re.compile(r"\b(?=[a-f]*0)[0a-f]{12,}\b")
 _LICENCE = re.compile(r"licen[cs]e|copyright|contributors|part of the .{0,60} project|all rights reserved", re.I)
 _JOIN = re.compile(r"(?<=\S)(?=<!doctype|<html|<\?xml|<style|<div id=\"root|// |/\* )", re.I)
@@ -117,9 +117,14 @@ def weak_label(lines: list[str]) -> int | None:
     return None if _WEAK.search(ending.lower()) or _MARK.search(ending) else 0
 
 
-def plain(text: str) -> str:
-    """All digits as 0, and the hexadecimal ids of requests, commits and keys as one."""
-    return _HEX.sub("0", text.translate(_DIGITS))
+def zeros(text: str) -> str:
+    """All digits as 0."""
+    return text.encode("utf-8", "surrogatepass").translate(_DIGITS).decode("utf-8", "surrogatepass")
+
+
+def plain(line: str) -> str:
+    """The hexadecimal ids of requests, commits and keys as one 0, in a line whose digits are all 0."""
+    return _HEX.sub("0", line) if len(line) >= 12 and "0" in line else line
 
 
 def _bucket(feature: str) -> int:
@@ -129,6 +134,8 @@ def _bucket(feature: str) -> int:
 
 def in_title(line: str, tokens: list[re.Match]) -> list[int]:
     """The tokens that stand in a page title or a first or second heading of the line."""
+    if "<" not in line and "#" not in line:
+        return []
     spans = [m.span(m.lastindex) for m in _TITLE.finditer(line) if m.lastindex]
     return [k for k, t in enumerate(tokens) if any(a <= t.start() < b for a, b in spans)] if spans else []
 
@@ -153,13 +160,16 @@ class Scorer:
         if got is None:
             if len(self.lines) > 100_000:
                 self.lines.clear()
-            m = [] if _CLOSING.fullmatch(text) else list(_TOKEN.finditer(text))
-            if not m:
+            clean = plain(text)
+            t = [] if "</" in text and _CLOSING.fullmatch(text) else _TOKEN.findall(clean)
+            if not t:
                 got = 0.0
             else:
-                t, w = [x[0] for x in m], self.known.__getitem__
-                titles = in_title(text, m)
-                z = sum(map(w, t)) + sum(map(w, zip(t, t[1:]))) + sum(w("title " + t[k]) for k in titles) + w("^ " + t[0]) + w("$ " + t[-1]) + w(f"len {min(len(t) // 4, 8)}")
+                w = self.known.__getitem__
+                titles = in_title(clean, list(_TOKEN.finditer(clean))) if "<" in clean or "#" in clean else ()
+                z = sum(map(w, t)) + sum(map(w, zip(t, t[1:]))) + w("^ " + t[0]) + w("$ " + t[-1]) + w(f"len {min(len(t) // 4, 8)}")
+                if titles:
+                    z += sum(w("title " + t[k]) for k in titles)
                 got = max(-CLIP, min(CLIP, z / (2 * len(t) + len(titles) + 2) ** 0.5 + self.bias))
             self.lines[text] = got
         return got
@@ -170,15 +180,16 @@ class Scorer:
         if got is None:
             if len(self.starts) > 100_000:
                 self.starts.clear()
-            got, z, t, w = 0.0, 0.0, [] if _CLOSING.fullmatch(text) else list(_TOKEN.finditer(text)), self.known.__getitem__
-            titles, headed = set(in_title(text, t)), 0
+            clean = plain(text)
+            got, z, t, w = 0.0, 0.0, [] if _CLOSING.fullmatch(text) else list(_TOKEN.finditer(clean)), self.known.__getitem__
+            titles, headed = set(in_title(clean, t)), 0
             for n, k in enumerate(range(len(t) - 1, -1, -1), 1):
                 x, c = t[k][0], t[k].start()
                 z += w((x, t[k + 1][0])) + w(x) if n > 1 else w("$ " + x) + w(x)
                 if k in titles:
                     headed += 1
                     z += w("title " + x)
-                glued = c > 0 and text[c].isupper() and not text[c - 1].isspace()
+                glued = c > 0 and clean[c].isupper() and not clean[c - 1].isspace()
                 got = max(got, min(CLIP, (z + w("^ " + x) + w(f"len {min(n // 4, 8)}")) / (2 * (n if glued else max(n, SHORT_RUN)) + headed + 2) ** 0.5 + self.bias))
             self.starts[text] = got
         return got
@@ -204,12 +215,12 @@ class Scorer:
 
     def judge(self, text: str) -> float:
         """Evidence that residue stands in the whole file, under its licence header, or from some point on."""
-        lines = [y for x in body(plain(text)) for y in _JOIN.split(x) if y.strip()]
+        lines = [y for x in body(zeros(text)) for y in (_JOIN.split(x) if "<" in x or "// " in x or "/* " in x else (x,)) if y and not y.isspace()]
         return self.suffix(lines, quoted(lines))[0]
 
 
 def features(line: str) -> list[int]:
-    line = plain(line)
+    line = plain(zeros(line))
     m = list(_TOKEN.finditer(line))
     t = [x[0].lower() for x in m]
     if not t:
@@ -281,7 +292,7 @@ def train(positive: list[list[str]], negative: list[list[str]]) -> tuple[np.ndar
     first = Scorer(*fit(x1 + x0, y1 + y0, m1 + m0, epochs=3))
     keep, turn = [], []
     for ls in positive:
-        full = [y for x in ls for y in [plain(x)] if y.strip()]
+        full = [y for x in ls for y in [zeros(x)] if y.strip()]
         best, at = first.suffix(full)
         (keep if best > 1 and at <= 1 else turn).append(ls)
     (x1, y1, m1), (x2, y2, m2) = lines(keep, 1), lines(turn, 0)
