@@ -42,6 +42,33 @@ def test_sinks(spark, rows):
     assert [r["value"] for r in sinks.bedgraph(spark.createDataFrame([("c", 0, 5, 1.5)], "chrom string, start long, end long, value double")).collect()] == ["c\t0\t5\t1.50000"]
 
 
+def test_track_sinks(spark):
+    cells = spark.createDataFrame([("c", 0, 5, 1.0, 2.0), ("c", 5, 9, 1.0 + 5e-6, 2.5), ("c", 9, 12, 3.0, 2.5)], "chrom string, start long, end long, treat double, ctrl double")
+    lines = lambda df: [r["value"] for r in df.collect()]
+    assert lines(sinks.track_bedgraph(cells, "treat")) == ["c\t0\t9\t1.00000", "c\t9\t12\t3.00000"]
+    pair = sinks.pair_bedgraphs(cells, 2e6)
+    assert lines(pair["ctrl"]) == ["c\t0\t5\t1.00000", "c\t5\t12\t1.25000"] and lines(pair["treat"])[1] == "c\t9\t12\t1.50000"
+    diff = cells.select("chrom", "start", "end", F.col("treat").alias("llr1"), F.col("ctrl").alias("llr2"), F.lit(-1.0).alias("llr12"))
+    assert lines(sinks.condition_matrix(diff))[0] == "c:0_5\t1.00000\t2.00000\t-1.00000" and len(lines(sinks.condition_bedgraph(diff, "llr12"))) == 1
+    post = spark.createDataFrame([("c", 30, 0.8, 0.1, 0.1), ("c", 40, 0.8, 0.1, 0.1), ("c", 60, 0.1, 0.8, 0.1)], "chrom string, bin_end long, p_open double, p_nuc double, p_bg double")
+    assert lines(sinks.likelihood_bedgraphs(post)["bg"]) == ["c\t0\t20\t1.00000", "c\t20\t40\t0.10000", "c\t40\t50\t1.00000", "c\t50\t60\t0.10000"]
+    runs = spark.createDataFrame([("c", 0, 20, "bg"), ("c", 20, 40, "open")], "chrom string, start long, end long, state string")
+    assert lines(sinks.state_bed(runs)) == ["c\t20\t40\topen"]
+    table = spark.createDataFrame([(1.0, 3, 30, 10.0, 0.5), (2.0, 1, 9, 9.0, 1.5)], "cutoff double, npeaks long, lpeaks long, avelpeak double, qscore double")
+    assert lines(sinks.cutoff_lines(table)) == ["2.00\t1.50\t1\t9\t9.00", "1.00\t0.50\t3\t30\t10.00"] and lines(sinks.cutoff_lines(table.drop("qscore")))[0] == "2.00\t1\t9\t9.00"
+
+
+def test_normalization_is_consistent():
+    from tidemark.functions import scores, stats
+
+    for a in "TCMN":
+        for b in "TCMN":
+            one, two = scores.normalization(a, 10, 4), scores.normalization(b, 10, 4, a)
+            assert [x * y for x, y in zip(one, two)] == pytest.approx(scores.normalization(b, 10, 4))
+    assert scores.normalization("T", 10, 4, "C") == pytest.approx((2.5, 2.5)) and scores.normalization("M", 10, 4, "T") == pytest.approx((0.1, 0.1))
+    assert stats.poisson_sf_inv(0.05, 10.0) == 15 and stats.poisson_sf_inv(0.05, 10.0, 9) == 9 and stats.poisson_cdf_inv(0.95, 10.0) == 15
+
+
 def block(data):
     c = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = c.compress(data) + c.flush()
@@ -65,6 +92,7 @@ def test_bam_source_splits(spark, tmp_path):
         df = spark.read.format("bam").option("split_bytes", step).load(str(tmp_path / "x.bam"))
         got = [(r["name"], r["flag"], r["pos"]) for r in df.select("name", "flag", "pos", "md").collect()]
         assert sorted(got) == sorted(want)
+    assert text.sniff(spark, str(tmp_path / "x.bam")) == "BAM" and text.read_tags(spark, str(tmp_path / "x.bam")).count() == bam.tags(df).count() and text.tag_size(spark, str(tmp_path / "x.bam")) == 20
     first = df.where("name = 'read0'").first()
     assert first["cigar"] == "20M" and first["md"] == "20" and len(first["seq"]) == 20
     assert bam.tags(df).count() == sum(f != 4 for _, f, _ in want)

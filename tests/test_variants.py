@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import variants as V
+from tidemark.plans import commands
+from tidemark.sources import sinks
 
 
 def read_bases(at, cigar_text, seq, qual, md):
@@ -117,3 +119,48 @@ def test_rare_allele_of_a_deep_site(spark):
     m = V.genotype([(30, 99_800)], [(30, 200)])
     assert m["biased"][0] > m["major"][0] + 10
     assert [(r["alt"], r["gt"], r["model"]) for r in got] == [("T", "0/1", "biased")]
+
+
+def test_callvar_and_vcf(spark, tmp_path):
+    """Reads over two regions: a balanced substitution, a homozygous one and a deletion of two bases; repeats and bad reads fall away."""
+    ref = "ACGTACGTTGCAACGTAGCTAGCTTACGATCG"
+    rows = []
+    for i in range(40):
+        start = i % 6
+        seq = list(ref[start : start + 24])
+        if i % 2:
+            seq[12 - start] = "G" if ref[12] != "G" else "T"
+        seq[15 - start] = "C" if ref[15] != "C" else "A"
+        cut = seq[: 18 - start] + seq[20 - start :]
+        body, own = ref[start : start + 24], ""
+        run = 0
+        for k, (a, b) in enumerate(zip(seq, body)):
+            if k == 18 - start:
+                own, run = own + f"{run}^{body[k : k + 2]}", 0
+            if k in (18 - start, 19 - start):
+                continue
+            if a == b:
+                run += 1
+            else:
+                own, run = own + f"{run}{b}", 0
+        rows.append((f"r{i}", "c", 100 + start, 16 * ((i // 2) % 2), f"{18 - start}M2D{4 + start}M", "".join(cut), bytes([35] * len(cut)), own + str(run)))
+    rows.append(("bad", "c", 100, 4, "10M", ref[:10], bytes([35] * 10), "10"))
+    cols = "name string, chrom string, pos int, flag int, cigar string, seq string, qual binary, md string"
+    reads = spark.createDataFrame(rows, cols)
+    regions = spark.createDataFrame([("c", 90, 117), ("c", 116, 140), ("d", 1, 9)], "chrom string, start long, end long")
+    out = commands.callvar(reads, regions, control=reads.where("name in ('r1', 'r2')"), max_duplicates=99, outliers=0)
+    got = {r["pos"]: r for r in out.collect()}
+    assert set(got) == {112, 115, 117} and got[112]["gt"] == "0/1" and got[115]["gt"] == "1/1"
+    assert (got[117]["ref"], got[117]["alt"], got[117]["mutation"]) == (ref[17:20], ref[17], "Deletion")
+    assert got[115]["depth"] == 42 and got[115]["depth_ctrl"] == 2 and got[115]["pl"][2] == 0 and got[112]["pl"][1] == 0
+    lines = [r["value"].split("\t") for r in sinks.variant_vcf(out).collect()]
+    assert [x[1] for x in lines] == ["113", "116", "118"] and all(len(x) == 10 for x in lines)
+    assert "DPT=40;DPC=2" in lines[1][7] and lines[1][8] == "GT:DP:GQ:PL" and lines[1][9].startswith("1/1:42:")
+    head = sinks.vcf_header({"c": 1000})
+    assert head[0] == "##fileformat=VCFv4.1" and head[-1].startswith("#CHROM") and "##contig=<ID=c,length=1000,assembly=NA>" in head
+    assert commands.callvar(reads, regions).count() <= 3 and commands.callvar(reads.limit(0), regions).count() == 0
+
+
+def test_fastq(spark):
+    df = spark.createDataFrame([("a", 0, "ACG", bytes([0, 10, 40])), ("b", 16, "ACG", bytes([0, 10, 40]))], "name string, flag int, seq string, qual binary")
+    assert [r["value"] for r in sinks.fastq(df).collect()] == ["@a\nACG\n+\n!+I", "@b\nCGT\n+\nI+!"]

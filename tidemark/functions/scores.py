@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import LOG10_E, pscore
@@ -42,6 +42,14 @@ def score(method: str, treat: Column, ctrl: Column, pseudocount: float = 0.0, tr
     return METHODS[method](treat + pseudocount, ctrl + pseudocount)
 
 
-def normalization(mode: str, treat_depth: float, ctrl_depth: float) -> tuple[float, float]:
-    """Factors for treatment and control: T to the treatment's depth, C to the control's, M to a million, N none."""
-    return {"T": (1.0, treat_depth / ctrl_depth), "C": (ctrl_depth / treat_depth, 1.0), "M": (1.0 / treat_depth, 1.0 / ctrl_depth), "N": (1.0, 1.0)}[mode]
+def normalization(mode: str, treat_depth: float, ctrl_depth: float, was: str = "N") -> tuple[float, float]:
+    """Factors for treatment and control from mode ``was``: T to the treatment's depth, C to the control's, M to a million, N as counted."""
+    from_counts = {"T": (1.0, treat_depth / ctrl_depth), "C": (ctrl_depth / treat_depth, 1.0), "M": (1.0 / treat_depth, 1.0 / ctrl_depth), "N": (1.0, 1.0)}
+    (t, c), (t0, c0) = from_counts[mode], from_counts[was]
+    return t / t0, c / c0
+
+
+def normalize(cells: DataFrame, mode: str, treat_depth: float, ctrl_depth: float, was: str = "N") -> DataFrame:
+    """Cells with ``treat`` and ``ctrl`` taken from one normalization to another."""
+    t, c = normalization(mode, treat_depth, ctrl_depth, was)
+    return cells.withColumn("treat", F.col("treat") * t).withColumn("ctrl", F.col("ctrl") * c)

@@ -53,6 +53,28 @@ def poisson_log10_pmf(k: Column, lam: Column) -> Column:
     return (k * F.log(lam) - lam - lgamma(k + 1.0)) * LOG10_E
 
 
+def poisson_cdf_of(k: Column, lam: Column) -> Column:
+    """P(X <= k)."""
+    return F.when(k < 0, F.lit(0.0)).otherwise(1 - F.pow(F.lit(10.0), poisson_log10_sf(k, lam)))
+
+
+def binomial_log_pmf_of(x: Column, n: Column, p: Column) -> Column:
+    return lgamma(n + 1.0) - lgamma(x + 1.0) - lgamma(n - x + 1.0) + x * F.log(p) + (n - x) * F.log1p(-p)
+
+
+def binomial_cdf_of(x: Column, n: Column, p: Column, most: int = 10_000) -> Column:
+    """P(X <= x) for 0 < p < 1, summed from x down over at most ``most`` terms (what is left is below 1e-12 by then)."""
+    first = F.exp(binomial_log_pmf_of(x, n, p))
+    start = F.struct(first.alias("t"), first.alias("s"))
+
+    def further(a, i):
+        t = a["t"] * i * (1 - p) / ((n - i + 1) * p)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    down = F.when(x > 0, F.sequence(x.cast("int"), F.greatest(F.lit(1), (x - most).cast("int")), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.when(x < 0, 0.0).when(x >= n, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(down, start, further, lambda a: a["s"])))
+
+
 def normal_pdf(x: Column, mean, var) -> Column:
     """Density of the normal distribution with this variance."""
     return F.exp(-F.pow(x - mean, F.lit(2.0)) / (2.0 * var)) / F.sqrt(2 * math.pi * F.lit(var) if not isinstance(var, Column) else 2 * math.pi * var)
@@ -155,6 +177,11 @@ def poisson_cdf_inv(p: float, lam: float, most: int = 1000) -> int:
     return most
 
 
+def poisson_sf_inv(q: float, lam: float, most: int = 1000) -> int:
+    """The smallest k up to ``most`` with P(X > k) <= q; ``most`` where there is none."""
+    return next((k for k in range(most) if poisson_sf(k, lam) <= q), most)
+
+
 def binomial_log_pmf(x: int, n: int, p: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p)
 

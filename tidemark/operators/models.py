@@ -96,6 +96,8 @@ def mixture(frags: DataFrame, means=(50, 200, 400, 600), stddevs=(20, 20, 20, 20
 
 
 CLASSES = ["short", "mono", "di", "tri"]
+#: The least signal of a bin.
+FLOOR = 1e-4
 
 
 def length_weights(lengths: DataFrame, means: list[float], stddevs: list[float], least: float = 0.001) -> DataFrame:
@@ -113,9 +115,10 @@ def digested(frags: DataFrame, weights: DataFrame) -> dict[str, DataFrame]:
 
 
 def bin_signals(signals: dict[str, DataFrame], regions: DataFrame, size: int = 10) -> DataFrame:
-    """``(chrom, start, end, bin_end, short, mono, di, tri)``: each signal at the bin's last base, 0 where there is none."""
+    """``(chrom, start, end, bin_end, short, mono, di, tri)``: each signal at the bin's last base, ``FLOOR`` where there is less or none."""
     rows = intervals.bins(regions, size).select("chrom", F.col("region.start").alias("start"), F.col("region.end").alias("end"), "bin_end")
-    return step.sample_many(signals, rows).fillna(0.0, list(signals))
+    sampled = step.sample_many(signals, rows)
+    return sampled.select(*rows.columns, *(F.greatest(F.coalesce(n, F.lit(0.0)), F.lit(FLOOR)).alias(n) for n in signals))
 
 
 class StateModel:

@@ -37,7 +37,7 @@ def without_outliers(reads: DataFrame, keys: list[str], percent: int = 5) -> Dat
     hist = rows.groupBy(*keys, "_e").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
     upto, total = F.sum("_n").over(w.orderBy("_e")), F.sum("_n").over(w)
-    most = hist.withColumn("_ok", upto > F.floor(total * (1 - percent * 0.01))).where("_ok").groupBy(*keys).agg(F.min("_e").alias("_most"))
+    most = hist.withColumn("_ok", upto > F.least(F.floor(total * (1 - percent * 0.01)), total - 1)).where("_ok").groupBy(*keys).agg(F.min("_e").alias("_most"))
     named = most.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_most")
     on = F.col("_e") <= F.col("_most")
     for i, k in enumerate(keys):

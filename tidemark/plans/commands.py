@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, stats
-from tidemark.operators import intervals, models, peaks, pileup, qvalue, shapes, step, tracks
+from tidemark.operators import intervals, models, peaks, pileup, qvalue, shapes, step, tracks, variants
 from tidemark.plans.tables import stage
+from tidemark.sources import text
 
 
 def _kind(df: DataFrame) -> str:
@@ -90,15 +91,21 @@ def cells(treat: DataFrame, ctrl: DataFrame | None, d: int, plan: dict, shift: i
     return both.select("chrom", "start", "end", "treat", (F.greatest(*bg) if len(bg) > 1 else bg[0]).alias("ctrl"))
 
 
+#: Scores by their symbol.
+SYMBOLS = {"p": "pscore", "q": "qscore", "f": "fold", "s": "excess"}
+
+
 def callpeak(
     treat: DataFrame, ctrl: DataFrame | None = None, genome: float | str = "hs", q: float | None = 0.05, p: float | None = None, keep_dup: int | str = 1, nomodel: bool = True, extsize: int = 200, shift: int = 0, slocal: int = 1000,
     llocal: int = 10000, nolambda: bool = False, broad: bool = False, broad_cutoff: float = 0.1, max_gap: int | None = None, min_length: int | None = None, tag_size: int = 50, fe_cutoff: float = 1.0, call_summits: bool = False,
     scale_to: str = "small", down_sample: bool = False, seed: int = 0, barcodes: DataFrame | None = None, max_count: int | None = None, lengths: DataFrame | None = None, mfold=(5, 50), bandwidth: int = 300, cutoff_analysis: bool = False,
+    cutoffs: dict[str, float] | None = None,
 ) -> dict[str, DataFrame]:
     """Enriched intervals of a treatment against its control or its own surroundings.
 
     Gives ``cells`` (aligned coverage with p and q scores), ``peaks`` (narrow or broad) and, if asked, ``cutoffs``. Only
-    totals reach the driver. Chroms missing from the treatment do not come out.
+    totals reach the driver. Chroms missing from the treatment do not come out. ``cutoffs`` names scores by symbol
+    instead of ``p`` and ``q``: -log10 p and q scores, ``f`` fold change (pseudocount 1), ``s`` the difference.
     """
     g = _genome(genome)
     if barcodes is not None:
@@ -125,12 +132,18 @@ def callpeak(
             sc = size(ctrl)
     larger = sc is not None and st["total"] > sc["total"] * (2 if kind != "tags" else 1)
     plan = scaling(st, sc, kind, d, g, max(slocal, d), max(llocal, slocal, d), nolambda, to_control=larger == (scale_to == "small") if sc else False)
-    by = {"pscore": -math.log10(p)} if p is not None else {"qscore": -math.log10(q)}
+    by = {SYMBOLS[k]: x for k, x in cutoffs.items()} if cutoffs else {"pscore": -math.log10(p)} if p is not None else {"qscore": -math.log10(q)}
     c = stage(qvalue.scored_pq(cells(treat, ctrl, d, plan, shift, lengths)), "scored")
+    more = {"fold": (F.col("treat") + 1) / (F.col("ctrl") + 1), "excess": F.col("treat") - F.col("ctrl")}
+    for name in set(by) & set(more):
+        c = c.withColumn(name, more[name])
     gap, least = tag_size if max_gap is None else max_gap, d if min_length is None else min_length
     out = {"cells": c}
     if cutoff_analysis:
-        out["cutoffs"] = peaks.cutoff_table(c, [round(0.3 * k, 1) for k in range(1, 34)], least, gap, "pscore")
+        swept = peaks.cutoff_table(c, [round(0.3 * k, 1) for k in range(1, 34)], least, gap, "pscore")
+        # The q score of a cutoff is that of the least p score from it on.
+        q_of = stage(c.where("pscore is not null").groupBy("pscore").agg(F.max("qscore").alias("qscore")), "q-of-p")
+        out["cutoffs"] = swept.join(q_of, q_of["pscore"] >= swept["cutoff"]).groupBy(*swept.columns).agg(F.min_by("qscore", "pscore").alias("qscore"))
     if broad:
         fc = (F.col("treat") + 1) / (F.col("ctrl") + 1)
         means = {"pileup": F.col("treat"), "fc": fc, "pscore": F.col("pscore"), "qscore": F.col("qscore")}
@@ -147,6 +160,30 @@ def callpeak(
     return out
 
 
+def callvar(
+    reads: DataFrame, regions: DataFrame, control: DataFrame | None = None, min_quality: int = 20, max_duplicates: int = 1, outliers: int = 5, min_share: float = 0.8, min_alt: int = 2, min_gq_hetero: float = 0.0, min_gq_homo: float = 0.0,
+) -> DataFrame:
+    """Variants (``operators.variants.CALLS``) of the reads in regions, with neighbouring deletions joined; write them by ``sinks.variant_vcf``.
+
+    Reads are (name, chrom, pos, flag, cigar, seq, qual, md) as the BAM source gives them. Repeated alignments are limited and
+    the reads of most edits of each region dropped; control reads add to the depth and are told apart in the counts.
+    Local assembly is not offered.
+    """
+    both = reads.withColumn("ctrl", F.lit(False))
+    if control is not None:
+        both = both.unionByName(control.withColumn("ctrl", F.lit(True)), allowMissingColumns=True)
+    own = ["name", "chrom", "pos", "flag", "cigar", "seq", "qual", "md", "ctrl"]
+    sized = both.where(text.usable(F.col("flag"))).select(*own, (F.col("pos") + text.reference_length(F.col("cigar"))).alias("_end"))
+    held = intervals.overlap_join(sized, intervals.merge(regions), ("pos", "_end"), ("start", "end"))
+    held = variants.limit_alignments(held, ["b_start", "ctrl"], max_duplicates)
+    held = stage(variants.without_outliers(held, ["chrom", "b_start"], outliers), "variant-reads")
+    rows = variants.bases(held.select(*own), min_quality)
+    inside = intervals.hosts(rows.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1), intervals.merge(regions), ["start"]).where("host is not null")
+    piles = stage(variants.pile(inside), "allele-piles")
+    calls = stage(variants.call_variants(piles, min_alt, min_share, min_gq_hetero, min_gq_homo), "variants")
+    return variants.fix_indels(calls, piles)
+
+
 def bdgpeakcall(track: DataFrame, cutoff: float = 5, min_length: int = 200, max_gap: int = 30, cutoffs: list[float] | None = None) -> DataFrame:
     return peaks.cutoff_table(track, cutoffs, min_length, max_gap) if cutoffs else peaks.call(track, cutoff, min_length, max_gap)
 

@@ -7,6 +7,8 @@ valid and get the rest with its reason.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,8 +143,24 @@ def read_peak_table(spark: SparkSession, path: str) -> DataFrame:
 READERS = {"BED": read_bed, "SAM": read_sam, "ELAND": read_eland_result, "ELANDMULTI": read_eland_multi, "ELANDEXPORT": read_eland_export, "BOWTIE": read_bowtie, "BEDPE": read_bedpe, "FRAG": read_frag, "BEDGRAPH": read_bedgraph}
 
 
+def _is_bam(spark: SparkSession, path: str) -> bool:
+    """Does the first compressed block begin as a BAM file does?"""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or fs.getFileStatus(at).isDirectory():
+        return False
+    stream = fs.open(at)
+    try:
+        head = bytes(stream.readNBytes(1 << 16))
+    finally:
+        stream.close()
+    return head[:2] == b"\x1f\x8b" and zlib.decompressobj(31).decompress(head, 4) == b"BAM\1"
+
+
 def sniff(spark: SparkSession, path: str) -> str:
-    """The format of a file by its first lines (looking at no more than 50): the first reader whose shape fits most of them."""
+    """The format of a file: BAM by its first bytes, others by their first lines (no more than 50): the first reader whose shape fits most of them."""
+    if _is_bam(spark, path):
+        return "BAM"
     first = [r[0].rstrip("\r") for r in spark.read.text(path).limit(50).collect()]
     if any(x.startswith("@") and "\t" in x for x in first):
         return "SAM"
@@ -166,10 +184,29 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 
 def read_tags(spark: SparkSession, path: str, kind: str = "AUTO") -> DataFrame:
-    return READERS[sniff(spark, path) if kind == "AUTO" else kind](spark, path)
+    kind = sniff(spark, path) if kind == "AUTO" else kind
+    if kind == "BAM":
+        from tidemark.sources import bam
 
+        bam.register(spark)
+        return bam.tags(spark.read.format("bam").load(path))
+    return READERS[kind](spark, path)
 
-def tag_size(spark: SparkSession, path: str) -> float:
-    """Mean length of the first 10 intervals of a BED file."""
-    rows, f = _fields(spark, path)
-    return rows.select((f[2].cast("int") - f[1].cast("int")).alias("n")).limit(10).agg(F.avg("n")).first()[0]
+
+#: Of each format the field that holds a read's sequence.
+_SEQUENCE = {"SAM": 9, "ELAND": 1, "ELANDMULTI": 1, "ELANDEXPORT": 8, "BOWTIE": 4}
+
+
+def tag_size(spark: SparkSession, path: str, kind: str = "AUTO") -> float | None:
+    """Mean length of the first 10 tags among the first 10,000 lines; null where there is none."""
+    kind = sniff(spark, path) if kind == "AUTO" else kind
+    if kind == "BAM":
+        from tidemark.sources import bam
+
+        bam.register(spark)
+        sizes = spark.read.format("bam").load(path).select(F.length("seq").alias("n"))
+    else:
+        rows, f = _fields(spark, path, "^@|" + _SKIP if kind == "SAM" else _SKIP)
+        at = _SEQUENCE.get(kind)
+        sizes = rows.limit(10_000).select((F.get(f, F.lit(2)).try_cast("int") - F.get(f, F.lit(1)).try_cast("int") if at is None else F.length(F.get(f, F.lit(at)))).alias("n"))
+    return sizes.where("n > 0").limit(10).agg(F.avg("n")).first()[0]
