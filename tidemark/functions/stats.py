@@ -59,7 +59,8 @@ def poisson_cdf_of(k: Column, lam: Column) -> Column:
 
 
 def binomial_log_pmf_of(x: Column, n: Column, p: Column) -> Column:
-    return lgamma(n + 1.0) - lgamma(x + 1.0) - lgamma(n - x + 1.0) + x * F.log(p) + (n - x) * F.log1p(-p)
+    """ln P(X = x) for 0 < p < 1; null where x is not in 0..n."""
+    return F.when((x >= 0) & (x <= n), lgamma(n + 1.0) - lgamma(x + 1.0) - lgamma(n - x + 1.0) + x * F.log(p) + (n - x) * F.log1p(-p))
 
 
 def binomial_cdf_of(x: Column, n: Column, p: Column, most: int = 10_000) -> Column:

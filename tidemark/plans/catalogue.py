@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores
 from tidemark.operators import coverage, intervals, models, peaks, pileup, qvalue, shapes, skew, step, tracks
-from tidemark.plans import commands
+from tidemark.plans import calls, commands, formats
 from tidemark.plans import views as V
 from tidemark.plans.tables import table
 from tidemark.sources import export_lines
@@ -322,9 +322,12 @@ _add("hmm_states", hmm_states)
 _add("callpeak_command", lambda s, d: commands.callpeak(V.fragments(s, d).where("barcode is not null").select("chrom", "l", "r"), V.fragments(s, d).where("barcode is null").select("chrom", "l", "r"), genome="hs", q=0.05, keep_dup="all", max_gap=50)["peaks"])
 
 
+calls._register_alleles()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_loaded": p5_loaded} | QUERIES
+    return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_loaded": p5_loaded} | QUERIES | calls.QUERIES | formats.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p5_loaded": P5_LOADED_SQL} | SQL
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p5_loaded": P5_LOADED_SQL} | SQL | calls.SQL | formats.SQL

@@ -38,16 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[0]
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted with the staged tables."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _STAGED:
+        atexit.register(_at_exit)
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The table stays until ``release``, the end of ``staging`` or of the driver.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _STAGED:
-        atexit.register(_at_exit)
-    _STAGED.append(path)
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
