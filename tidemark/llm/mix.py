@@ -10,6 +10,8 @@ from tidemark.plans.tables import stage
 
 #: Hash ranges per source in which the fractional repetition is cut; the range at the cut is ordered exactly.
 RANGES = 4096
+#: Up to so many targets their rows (one each) are broadcast; beyond, Spark chooses the join by size.
+FEW = 10_000
 
 
 def water_fill(weights: dict[str, float], caps: dict[str, float], total: float) -> dict[str, float]:
@@ -49,7 +51,9 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", source: str
     spark = docs.sparkSession
     goal = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.coalesce("target_weight", F.lit(0.0))).alias("w"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("m"))
     goals = {r["source"]: (max(0.0, r["w"]), max(0, r["m"])) for r in goal.collect()}
-    part = docs.where(F.col(source).isin(list(goals)))
+    near = F.broadcast if len(goals) <= FEW else lambda df: df
+    named = spark.createDataFrame([(s,) for s in sorted(goals)], "_target string")
+    part = docs.join(near(named), F.col(source) == F.col("_target"), "left_semi")
     # The hash comes from the id alone, so that a document keeps its place whatever else is in the corpus.
     sized = stage(count_tokens(part, [ident, source], text).select(F.col(ident).alias("i"), F.col(source).alias("s"), F.col("n_tokens").alias("n"), F.xxhash64(F.lit(seed), F.col(ident)).alias("u")), "mix-sizes")
     sizes = {r["s"]: r["n"] for r in sized.groupBy("s").agg(F.sum("n").alias("n")).collect()}
@@ -62,14 +66,14 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", source: str
         whole = int(epochs + 1e-9)
         plan.append((s, w, m, size, allot[s], whole, 0.0 if whole >= m else max(0.0, allot[s] - whole * size)))
     table = spark.createDataFrame(plan, "s string, target_weight double, max_repeats int, available_tokens long, allotted_tokens double, whole int, rest double")
-    few = F.broadcast(table.select("s", "whole", "rest"))
+    few = near(table.select("s", "whole", "rest"))
 
     rows = sized.join(few, "s").withColumn("range", F.pmod(F.shiftrightunsigned("u", 40), F.lit(RANGES)).cast("int"))
     hist = rows.groupBy("s", "range").agg(F.sum("n").alias("t"), F.first("rest").alias("rest"))
     upto = F.sum("t").over(Window.partitionBy("s").orderBy("range"))
     cut = hist.withColumn("upto", upto).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("t") <= F.col("rest")) & (F.col("t") > 0))
     cut = cut.select("s", F.col("range").alias("cut"), (F.col("upto") - F.col("t")).alias("base"))
-    placed = rows.join(F.broadcast(cut), "s", "left")  # one row per target at most
+    placed = rows.join(near(cut), "s", "left")  # one row per target at most
     edge = placed.where(F.col("range") == F.col("cut"))
     order = F.sum("n").over(Window.partitionBy("s").orderBy("u", "i").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("extra", ((F.col("rest") > 0) & (F.col("base") + order <= F.col("rest"))).cast("int"))
