@@ -94,7 +94,7 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
 # Coverage.
 _add("pileup_unit", lambda s, d: pileup.pileup(V.fragments(s, d)), f'WITH {V.FRAGS}, {V.sql_pileup("a", "f")} SELECT {_SEG}, v AS value FROM a')
 _add("pileup_weighted", lambda s, d: pileup.pileup(tracks.cap_counts(V.fragments(s, d)), F.col("cnt").cast("long")), f'WITH {V.FRAGS}, {V.sql_pileup("a", "f", "coalesce(least(cnt, 65535), 0)")} SELECT {_SEG}, v AS value FROM a')
-_add("pileup_tags_directional", V.signal_a, f'WITH {V.SIGNAL_A} SELECT {_SEG}, v AS value FROM a')
+_add("pileup_tags_directional", lambda s, d: commands.pileup_track(V.tags_treat(s, d), V.TREAT_EXT), f'WITH {V.SIGNAL_A} SELECT {_SEG}, v AS value FROM a')
 _add("pileup_tags_bidirectional", lambda s, d: _out(V.signal_b(s, d)), f'WITH {V.SIGNAL_B} SELECT {_SEG}, round(v, 5) AS value FROM b')
 _add(
     "pileup_both_ends",
@@ -120,13 +120,13 @@ _SQL_REDUCERS = {"max": "greatest(v0, v1)", "min": "least(v0, v1)", "mean": "(v0
 for _name, _expr in _SQL_REDUCERS.items():
     _add(
         f"step_overlay_{_name}",
-        lambda s, d, f=_name: _out(step.overlay([V.signal_a(s, d), V.signal_b(s, d)], f)),
+        lambda s, d, f=_name: _out((commands.cmbreps if f in ("max", "mean") else step.overlay)([V.signal_a(s, d), V.signal_b(s, d)], f)),
         f'{_AB}, y AS (SELECT chrom, s, e, round({_expr}, 9) AS v FROM x), {V.sql_rle("z", "y")} SELECT {_SEG}, round(v, 5) AS value FROM z',
     )
 _FISHER = "ln(10) * (v0 + v1)"  # half of the chi-square statistic of two -log10 scores
 _add(
     "step_overlay_fisher",
-    lambda s, d: _out(step.overlay([V.signal_a(s, d), V.signal_b(s, d)], "fisher").where("value is not null")),
+    lambda s, d: _out(commands.cmbreps([V.signal_a(s, d), V.signal_b(s, d)], "fisher").where("value is not null")),
     f"""{_AB}, y AS (SELECT chrom, s, e, CASE WHEN v0 + v1 > 0 THEN ({_FISHER} - ln(1 + {_FISHER})) / ln(10) ELSE 0.0 END AS v FROM x), {V.sql_rle("z", "y")} SELECT {_SEG}, round(v, 5) AS value FROM z""",
 )
 _add("step_rle_merge", lambda s, d: step.rle(step.apply(V.signal_a(s, d), lambda v: F.floor(v / 25).cast("double"))), f'WITH {V.SIGNAL_A}, y AS (SELECT chrom, s, e, CAST(floor(v / 25) AS DOUBLE) AS v FROM a), {V.sql_rle("z", "y")} SELECT {_SEG}, v AS value FROM z')
@@ -134,7 +134,7 @@ _add("step_threshold_baseline", lambda s, d: step.below_to_baseline(V.signal_a(s
 _add("step_above", lambda s, d: step.above(V.signal_a(s, d), 20.0), f"WITH {V.SIGNAL_A} SELECT {_SEG}, v AS value FROM a WHERE v > 20")
 _add("step_scale_clip", lambda s, d: _out(step.scale_clip(V.signal_a(s, d), 0.5, 4.0)), f"WITH {V.SIGNAL_A} SELECT {_SEG}, round(greatest(v * 0.5, 4.0), 5) AS value FROM a")
 for _name, _k, _expr in (("multiply", 2.5, "v * 2.5"), ("add", 1.5, "v + 1.5"), ("max", 20.0, "greatest(v, 20.0)"), ("min", 20.0, "least(v, 20.0)")):
-    _add(f"bdgopt_{_name}", lambda s, d, f=_name, k=_k: _out(step.operate(V.signal_a(s, d), f, k)), f"WITH {V.SIGNAL_A} SELECT {_SEG}, round({_expr}, 5) AS value FROM a")
+    _add(f"bdgopt_{_name}", lambda s, d, f=_name, k=_k: _out(commands.bdgopt(V.signal_a(s, d), f, k)), f"WITH {V.SIGNAL_A} SELECT {_SEG}, round({_expr}, 5) AS value FROM a")
 _add("step_constant", lambda s, d: step.constant(V.signal_a(s, d), 7.0), f'WITH {V.SIGNAL_A} SELECT chrom, CAST(0 AS BIGINT) AS "start", max(e) AS "end", CAST(7 AS DOUBLE) AS value FROM a GROUP BY chrom')
 _add("step_summary", lambda s, d: _out(step.summary(V.signal_a(s, d))), f"""WITH {V.SIGNAL_A}, t AS (SELECT sum(v * (e - s)) AS t, CAST(sum(e - s) AS BIGINT) AS n, max(v) AS hi, min(v) AS lo, sum(v * v * (e - s)) AS q FROM a)
 SELECT round(t, 5) AS total, n AS bases, hi AS "max", lo AS "min", round(t / n, 5) AS mean, round(sqrt(q / n - (t / n) * (t / n)), 5) AS std FROM t""")
@@ -155,12 +155,24 @@ _SCORES = {
     "max": ("M", "round(greatest(v0, v1), 4)"),
     "spmr": ("m", "round(v0 / 2.5, 4)"),
 }
+
+
+def _compared(spark: SparkSession, d: str, letter: str) -> DataFrame:
+    """Scores of treatment against control by the command's method, or per million reads."""
+    method = next((n for n, x in scores.NAMES.items() if x == letter), None)
+    if method is None:
+        rows = _cells(spark, d).select("chrom", "start", "end", scores.score(letter, F.col("treat"), F.col("ctrl"), treat_depth=2.5).alias("score"))
+    else:
+        rows = commands.bdgcmp(V.signal_a(spark, d), V.signal_b(spark, d), [method], 1.0).withColumnRenamed(method, "score")
+    return _out(rows, 4)
+
+
 for _name, (_letter, _expr) in _SCORES.items():
     if _name == "pois":
         continue
     _add(
         f"score_{_name}",
-        lambda s, d, m=_letter: _cells(s, d).select("chrom", "start", "end", _r(scores.score(m, F.col("treat"), F.col("ctrl"), 1.0, treat_depth=2.5), 4).alias("score")),
+        lambda s, d, m=_letter: _compared(s, d, m),
         f"{_AB} SELECT {_SEG}, {_expr} AS score FROM x",
     )
 _P = f"{_AB}, k AS (SELECT *, trunc(v0 + 1) AS k, v1 + 1 AS lam FROM x), dk AS (SELECT DISTINCT k, lam FROM k), tk AS (SELECT k, lam, {_TERMS} AS x FROM dk), pk AS (SELECT k, lam, round({_PSF}, 5) AS p FROM tk), p AS (SELECT k.chrom, k.s, k.e, v0, v1, p FROM k JOIN pk USING (k, lam))"
@@ -175,7 +187,7 @@ _add("bdg_p2q", lambda s, d: _out(step.p2q(V.signal_a(s, d))), f"WITH {V.SIGNAL_
 # Peaks.
 _add(
     "peaks_narrow",
-    lambda s, d: peaks.call(V.coverage(s, d, "cells"), 2.0, 50, 100),
+    lambda s, d: commands.bdgpeakcall(V.coverage(s, d, "cells"), 2.0, 50, 100),
     f'WITH {V.FRAGS}, {V.sql_pileup("a", "f", where="barcode IS NOT NULL")}, k AS (SELECT * FROM a WHERE v >= 2), {V.sql_islands("i", "k", 100)}, {V.sql_summits("u", "i")} SELECT {_SEG}, summit, top AS score FROM u WHERE e - s >= 50',
 )
 _add(
@@ -186,7 +198,7 @@ _add(
 
 
 def peaks_broad(spark: SparkSession, d: str) -> DataFrame:
-    out = peaks.call_broad(V.coverage(spark, d, "cells"), 2.0, 1.0, 60, 100, 400)
+    out = commands.bdgbroadcall(V.coverage(spark, d, "cells"), 2.0, 1.0, 60, 100, 400)
     return out.select("chrom", "start", "end", "thick_start", "thick_end", F.size("blocks").cast("bigint").alias("n_blocks"), F.expr("aggregate(blocks, 0L, (a, b) -> a + b.size)").alias("block_bases"), _r(F.col("score")).alias("score"))
 
 
@@ -202,7 +214,7 @@ CAST(b + CASE WHEN ts IS NULL OR ts > s THEN 1 ELSE 0 END + CASE WHEN te IS NULL
 _GRID = [float(x) for x in range(4, 44, 2)]
 _add(
     "cutoff_analysis",
-    lambda s, d: _out(peaks.cutoff_table(V.signal_a(s, d), _GRID, 500, 300)),
+    lambda s, d: _out(commands.bdgpeakcall(V.signal_a(s, d), 0, 500, 300, _GRID)),
     f"""WITH {V.SIGNAL_A}, k AS (SELECT cutoff, chrom, s, e FROM a, (SELECT unnest({_GRID}) AS cutoff) WHERE v > cutoff), {V.sql_islands("i", "k", 300, "cutoff, chrom")}, n AS (SELECT cutoff, max(e) - min(s) AS len FROM i GROUP BY cutoff, chrom, g HAVING max(e) - min(s) >= 500)
 SELECT CAST(cutoff AS DOUBLE) AS cutoff, count(*) AS npeaks, CAST(sum(len) AS BIGINT) AS lpeaks, round(avg(len), 5) AS avelpeak FROM n GROUP BY cutoff""",
 )
@@ -231,12 +243,12 @@ SELECT {_SEG}, summit, top AS pileup, round((top + 1) / (v1 + 1), 3) AS fc, roun
 _DIFF_EXT, _DIFF_CTRL, _DIFF_SCALE, _DIFF_CUT = 300, 3000, 0.05, 1.0
 
 
-def _four(spark: SparkSession, d: str) -> DataFrame:
-    """Differential cells: tags on both strands as two conditions, each against the control."""
+def _differential(spark: SparkSession, d: str) -> DataFrame:
+    """Differential regions: tags on both strands as two conditions, each against the control."""
     t = V.tags_treat(spark, d)
     one, two = (pileup.pileup_tags(t.where(f"strand = {k}"), _DIFF_EXT) for k in (0, 1))
     b = pileup.pileup_tags(V.tags_ctrl(spark, d), _DIFF_CTRL, directional=False, scale=_DIFF_SCALE, baseline=0.5)
-    return peaks.differential(one, b, two, b, 10.0, 8.0)
+    return commands.bdgdiff(one, b, two, b, _DIFF_CUT, 50, 20, 10.0, 8.0)
 
 
 _LLR = "CASE WHEN {x} > {y} THEN ({x} * ln({x} / {y}) + {y} - {x}) / ln(10) WHEN {x} < {y} THEN {neg} ELSE 0 END"
@@ -250,7 +262,7 @@ _DIFF = (
 for _name, _cond, _sc in (("cond1", "l1 >= {c} AND l12 >= {c}", "l12"), ("cond2", "l2 >= {c} AND l12 <= -{c}", "-l12"), ("common", "l1 >= {c} AND l2 >= {c} AND abs(l12) <= {c}", "abs(l12)")):
     _add(
         f"bdgdiff_{_name}",
-        lambda s, d, c=_name: _out(peaks.differential_peaks(_four(s, d), _DIFF_CUT, 50, 20).where(F.col("category") == c).drop("category")),
+        lambda s, d, c=_name: _out(_differential(s, d).where(F.col("category") == c).drop("category")),
         f'{_DIFF}, k AS (SELECT chrom, s, e, {_sc} AS v FROM l WHERE {_cond.format(c=_DIFF_CUT)}), {V.sql_islands("i", "k", 20)} SELECT chrom, min(s) AS "start", max(e) AS "end", round(sum(v * (e - s)) / sum(e - s), 5) AS score FROM i GROUP BY chrom, g HAVING max(e) - min(s) >= 50',
     )
 
@@ -273,7 +285,7 @@ _add("barcode_subset", lambda s, d: tracks.subset(V.fragments(s, d), V.fragments
 _add("cell_by_peak", lambda s, d: intervals.counts_by_entity(V.fragments(s, d), V.regions(s, d)), f"{_RG}, {V.FRAGS} SELECT barcode, f.chrom, mr.s AS \"start\", mr.e AS \"end\", CAST(sum(cnt) AS BIGINT) AS cnt FROM f JOIN mr ON f.chrom = mr.chrom AND f.l < mr.e AND f.r > mr.s WHERE barcode IS NOT NULL AND cnt IS NOT NULL GROUP BY barcode, f.chrom, mr.s, mr.e")
 
 # Tracks.
-_add("filterdup_tags", lambda s, d: tracks.limit_duplicates(V.tags_treat(s, d), ["chrom", "pos", "strand"], 2), f"WITH {V.TREAT}, n AS (SELECT chrom, pos, strand, row_number() OVER (PARTITION BY chrom, pos, strand ORDER BY pos) AS i FROM tt) SELECT chrom, CAST(pos AS INT) AS pos, strand FROM n WHERE i <= 2")
+_add("filterdup_tags", lambda s, d: commands.filterdup(V.tags_treat(s, d), 2), f"WITH {V.TREAT}, n AS (SELECT chrom, pos, strand, row_number() OVER (PARTITION BY chrom, pos, strand ORDER BY pos) AS i FROM tt) SELECT chrom, CAST(pos AS INT) AS pos, strand FROM n WHERE i <= 2")
 _add("filterdup_frags", lambda s, d: tracks.limit_duplicates(V.fragments(s, d), ["chrom", "l", "r"], 1, True), f"WITH {V.FRAGS} SELECT chrom, l, r, count(*) AS n_before FROM f GROUP BY chrom, l, r")
 _add("fraglen_hist", lambda s, d: tracks.length_histogram(V.fragments(s, d)), f"WITH {V.FRAGS} SELECT CAST(r - l AS INT) AS len, count(*) AS n FROM f GROUP BY r - l")
 _add("mean_template", lambda s, d: _out(tracks.totals(V.fragments(s, d).drop("cnt"))), f"WITH {V.FRAGS} SELECT count(*) AS total, CAST(sum(r - l) AS BIGINT) AS length, round(sum(r - l) / count(*), 5) AS mean_length FROM f")
@@ -287,10 +299,28 @@ _add("randsample_exact", lambda s, d: tracks.sample(V.fragments(s, d), ["chrom"]
 
 # No SQL twin: array-shaped or fitted. Tests hold them against planted cases.
 _strong = lambda s, d: peaks.call(V.signal_a(s, d), 30.0, 500, 300, strict=True).select("chrom", "start", "end")
-_add("subpeak_summits", lambda s, d: shapes.subpeaks(V.signal_a(s, d), _strong(s, d), 500))
+# A region's profile at every position, padded by 20 zeros before it and mirrored by half a window to both sides; the slope's
+# sign from running sums; summits, dips between them, bars, and what rises over them.
+_SUBPEAKS = f"""WITH {V.SIGNAL_A}, k AS (SELECT * FROM a WHERE v > 30), {V.sql_islands("i", "k", 300)}, rg AS (SELECT chrom, min(s) AS s, max(e) AS e FROM i GROUP BY chrom, g HAVING max(e) - min(s) >= 500),
+cv AS (SELECT rg.chrom, rg.s, rg.e, unnest(range(greatest(a.s, rg.s), least(a.e, rg.e))) - rg.s + 20 AS i, v FROM rg JOIN a ON a.chrom = rg.chrom AND a.s < rg.e AND a.e > rg.s),
+y AS MATERIALIZED (SELECT rg.chrom, rg.s, rg.e, n.i, coalesce(cv.v, 0) AS v FROM (SELECT *, unnest(range(0, e - s + 20)) AS i FROM rg) AS n JOIN rg USING (chrom, s) LEFT JOIN cv ON cv.chrom = n.chrom AND cv.s = n.s AND cv.i = n.i),
+z AS (SELECT chrom, s, e, last(v ORDER BY i) AS v FROM y GROUP BY chrom, s, e),
+wide AS (SELECT chrom, s, e, i, v FROM y UNION ALL SELECT chrom, s, e, -i, -v FROM y WHERE i BETWEEN 1 AND 250
+  UNION ALL SELECT y.chrom, y.s, y.e, 2 * (y.e - y.s + 19) - i, z.v + abs(y.v - z.v) FROM y JOIN z USING (chrom, s, e) WHERE i BETWEEN y.e - y.s + 19 - 250 AND y.e - y.s + 18),
+sl AS (SELECT chrom, s, e, i, v, sign(sum(v * i) OVER w - i * sum(v) OVER w) AS d FROM wide WINDOW w AS (PARTITION BY chrom, s ORDER BY i ROWS BETWEEN 250 PRECEDING AND 250 FOLLOWING)),
+sg AS (SELECT *, lead(d) OVER (PARTITION BY chrom, s ORDER BY i) AS nd FROM (SELECT * FROM sl WHERE i BETWEEN 0 AND e - s + 19)),
+tp AS (SELECT chrom, s, e, i, v, lead(i) OVER (PARTITION BY chrom, s ORDER BY i) AS ni, row_number() OVER (PARTITION BY chrom, s ORDER BY i) AS k, count(*) OVER (PARTITION BY chrom, s) AS n FROM sg WHERE nd < d AND i BETWEEN 10 AND e - s + 10),
+dp AS (SELECT tp.chrom, tp.s, tp.k, arg_min(y.i, (y.v, y.i)) AS i, min(y.v) + sqrt(min(y.v)) AS bar FROM tp JOIN y ON y.chrom = tp.chrom AND y.s = tp.s AND y.i >= tp.i AND y.i < tp.ni GROUP BY tp.chrom, tp.s, tp.k),
+sd AS (SELECT tp.*, coalesce(b.i, 0) AS lo, coalesce(c.i, tp.e - tp.s + 20) AS hi, CASE WHEN tp.k = 1 THEN c.bar + sqrt(c.bar) ELSE greatest(coalesce(b.bar, 0), coalesce(c.bar, 0)) END AS bar FROM tp LEFT JOIN dp AS b ON b.chrom = tp.chrom AND b.s = tp.s AND b.k = tp.k - 1 LEFT JOIN dp AS c ON c.chrom = tp.chrom AND c.s = tp.s AND c.k = tp.k),
+un AS (SELECT sd.*, coalesce((SELECT min(y.i) FROM y WHERE y.chrom = sd.chrom AND y.s = sd.s AND y.i >= sd.i AND y.i < sd.hi AND y.v < sd.bar), hi) AS up FROM sd),
+ok AS (SELECT un.chrom, un.s, un.e, un.i FROM un JOIN y ON y.chrom = un.chrom AND y.s = un.s AND y.i >= lo AND y.i < up WHERE n > 1 GROUP BY un.chrom, un.s, un.e, un.i, lo, up HAVING any_value(up - lo) >= 50 AND count(DISTINCT y.v) >= 6 UNION ALL SELECT chrom, s, e, i FROM tp WHERE n = 1),
+mx AS (SELECT chrom, s, e, i, row_number() OVER (PARTITION BY chrom, s ORDER BY i) AS k, count(*) OVER (PARTITION BY chrom, s) AS n FROM (SELECT y.*, max(v) OVER (PARTITION BY chrom, s) AS top FROM y WHERE i >= 20) WHERE v = top),
+al AS (SELECT * FROM ok UNION ALL SELECT chrom, s, e, i FROM mx WHERE k = (n - 1) // 2 + 1 AND (chrom, s) NOT IN (SELECT (chrom, s) FROM ok))
+SELECT al.chrom, al.s AS "start", al.e AS "end", al.s + al.i - 20 AS summit, y.v AS score FROM al JOIN y ON y.chrom = al.chrom AND y.s = al.s AND y.i = greatest(al.i, 20)"""
+_add("subpeak_summits", lambda s, d: shapes.subpeaks(V.signal_a(s, d), _strong(s, d), 500), _SUBPEAKS)
 _add(
     "wtd_refine",
-    lambda s, d: _out(shapes.refine_by_balance(V.tags_treat(s, d), _strong(s, d).withColumn("name", F.concat_ws("_", "chrom", "start")), 400, 5.0)),
+    lambda s, d: _out(commands.refinepeak(_strong(s, d).withColumn("name", F.concat_ws("_", "chrom", "start")), V.tags_treat(s, d), 5.0, 400)),
     f"""WITH {V.SIGNAL_A}, k AS (SELECT * FROM a WHERE v > 30), {V.sql_islands("i", "k", 300)}, rg AS (SELECT chrom, min(s) AS s, max(e) AS e FROM i GROUP BY chrom, g HAVING max(e) - min(s) >= 500),
 sp AS (SELECT chrom, s, unnest(range(s - 400, e + 401)) AS p FROM rg), n AS (SELECT chrom, pos, strand, count(*) AS n FROM tt GROUP BY chrom, pos, strand),
 near AS (SELECT rg.chrom, rg.s, n.pos, n.strand, n.n FROM rg JOIN n ON n.chrom = rg.chrom AND n.pos BETWEEN rg.s - 800 AND rg.e + 800),
