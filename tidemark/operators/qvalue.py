@@ -20,19 +20,23 @@ def scored(df: DataFrame, pseudocount: float = 0.0, treat: str = "treat", ctrl:
     """
     k, lam = (F.col(treat) + pseudocount).cast("long"), F.col(ctrl) + pseudocount
     base = stage(df.withColumn("_k", k).withColumn("_lam", lam), "scored-cells")
-    pairs = base.select("_k", "_lam").where("_k is not null and _lam is not null").distinct().withColumn("pscore", stats.pscore(F.col("_k"), F.col("_lam")))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pairs = base.select("_k", "_lam").where("_k is not null and _lam is not null").distinct().repartition(cores)
+    pairs = stage(pairs.withColumn("pscore", stats.pscore(F.col("_k"), F.col("_lam"))), "scored-pairs")
     return base.join(pairs, ["_k", "_lam"], "left").drop("_k", "_lam")
 
 
 def scored_pq(df: DataFrame, pseudocount: float = 0.0, treat: str = "treat", ctrl: str = "ctrl") -> DataFrame:
-    """``df`` with ``pscore`` and ``qscore``, as ``with_qscore(scored(df))`` has them, with one table written and one join.
+    """``df`` with ``pscore`` and ``qscore``, as ``with_qscore(scored(df))`` has them, with one join; written are the cells and their distinct pairs.
 
     The table of scores is built from the distinct pairs and their summed lengths, not from the segments.
     """
     k, lam = (F.col(treat) + pseudocount).cast("long"), F.col(ctrl) + pseudocount
     base = stage(df.withColumn("_k", k).withColumn("_lam", lam), "scored-cells")
     pairs = base.where("_k is not null and _lam is not null").groupBy("_k", "_lam").agg(F.sum(F.col("end") - F.col("start")).alias("_n"))
-    pairs = pairs.withColumn("pscore", stats.pscore(F.col("_k"), F.col("_lam")))
+    # The tail is costly and the pairs are few bytes: spread over all cores, computed once and written.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pairs = stage(pairs.repartition(cores).withColumn("pscore", stats.pscore(F.col("_k"), F.col("_lam"))), "scored-pairs")
     q = table(pairs.select(F.lit(0).cast("long").alias("start"), F.col("_n").alias("end"), "pscore"))
     both = with_qscore(pairs, lookup=q).select("_k", "_lam", "pscore", "qscore")
     return base.join(both, ["_k", "_lam"], "left").drop("_k", "_lam")

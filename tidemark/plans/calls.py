@@ -203,9 +203,9 @@ SELECT k, lam, round(list_sum(list_transform(range(0, k + 1), lambda j: {_PMF}))
 _BIN = "exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))"
 add(
     "dist_binomial",
-    lambda s, d: table(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("x"), (F.col("l_quantity") * 4).cast("long").alias("n"), F.round(F.expr("l_discount * 3 + 0.01"), 4).alias("p")).distinct().select("x", "n", "p", F.round(stats.binomial_log_pmf_of(F.col("x"), F.col("n"), F.col("p")), 6).alias("log_pmf"), F.round(stats.binomial_cdf_of(F.col("x"), F.col("n"), F.col("p")), 7).alias("cdf")),
-    f"""WITH v AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS x, CAST(l_quantity * 4 AS BIGINT) AS n, round(l_discount * 3 + 0.01, 4) AS p FROM lineitem)
-SELECT x, n, p, CASE WHEN x <= n THEN round(lgamma(n + 1) - lgamma(x + 1) - lgamma(greatest(n - x, 0) + 1) + x * ln(p) + (n - x) * ln(1 - p), 6) END AS log_pmf, round(CASE WHEN x >= n THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda j: {_BIN})) END, 7) AS cdf FROM v""",
+    lambda s, d: table(s, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("x"), (F.col("l_quantity") * 4).cast("long").alias("n"), F.round(F.expr("l_discount * 3 + 0.0137"), 4).alias("p")).distinct().select("x", "n", "p", F.round(stats.binomial_log_pmf_of(F.col("x"), F.col("n"), F.col("p")), 4).alias("log_pmf"), F.round(stats.binomial_cdf_of(F.col("x"), F.col("n"), F.col("p")), 7).alias("cdf")),
+    f"""WITH v AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS x, CAST(l_quantity * 4 AS BIGINT) AS n, round(l_discount * 3 + 0.0137, 4) AS p FROM lineitem)
+SELECT x, n, p, CASE WHEN x <= n THEN round(lgamma(n + 1) - lgamma(x + 1) - lgamma(greatest(n - x, 0) + 1) + x * ln(p) + (n - x) * ln(1 - p), 4) END AS log_pmf, round(CASE WHEN x >= n THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda j: {_BIN})) END, 7) AS cdf FROM v""",
 )
 # The error function by Simpson's rule with 2,000 steps.
 _ERF = "(2 / sqrt(pi()) * a / 6000 * list_sum(list_transform(range(0, 2001), lambda j: (CASE WHEN j = 0 OR j = 2000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-(a * j / 2000) * (a * j / 2000)))))"
