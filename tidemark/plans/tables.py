@@ -60,11 +60,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the staged tables (those after the first ``since``): what was built on them can no longer be computed."""
-    paths, _STAGED[since:] = _STAGED[since:], []
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    for path in _STAGED[since:]:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        _STAGED.remove(path)
 
 
 @contextmanager
@@ -78,12 +78,12 @@ def staging(spark: SparkSession) -> Iterator[None]:
 
 
 def _at_exit() -> None:
-    """Delete what is left, if the session still runs; of local folders also after it."""
-    spark = SparkSession.getActiveSession()
+    """Delete what is left: through the session if it still runs, else what lies in folders of this machine."""
     try:
-        if spark is not None and _STAGED:
+        if (spark := SparkSession.getActiveSession()) is not None:
             release(spark)
     except Exception:  # the gateway may be gone
-        for path in _STAGED:
-            if path.startswith("file:"):
-                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
+        pass
+    for path in _STAGED:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
