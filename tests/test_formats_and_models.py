@@ -42,6 +42,13 @@ def test_sinks(spark, rows):
     assert [r["value"] for r in sinks.bedgraph(spark.createDataFrame([("c", 0, 5, 1.5)], "chrom string, start long, end long, value double")).collect()] == ["c\t0\t5\t1.50000"]
 
 
+def test_gzip_lines(spark, tmp_path):
+    lines = spark.createDataFrame([("c\t1\t9",), ("c\t2\t8",)], "value string").coalesce(1)
+    sinks.write(lines, str(tmp_path / "z"), ["track"], single=True, compression="gzip")
+    (part,) = (tmp_path / "z").glob("*.gz")
+    assert gzip.decompress(part.read_bytes()) == b"track\nc\t1\t9\nc\t2\t8\n" and text.read_bedpe(spark, str(tmp_path / "z")).count() == 2
+
+
 def test_track_sinks(spark):
     cells = spark.createDataFrame([("c", 0, 5, 1.0, 2.0), ("c", 5, 9, 1.0 + 5e-6, 2.5), ("c", 9, 12, 3.0, 2.5)], "chrom string, start long, end long, treat double, ctrl double")
     lines = lambda df: [r["value"] for r in df.collect()]
@@ -116,6 +123,27 @@ def test_state_model_and_mixture(spark):
     assert [round(v, -1) for v in means[1:]] == [200, 400, 600]
 
 
+@pytest.mark.parametrize("kind", ["poisson", "gaussian"])
+def test_states_of_cut_regions(spark, kind):
+    """Chunks give the posteriors of the whole sequence: regions shorter and longer than a chunk, of one bin, on both sides of its edges."""
+    rng = np.random.default_rng(3)
+    means = np.array([[9.0, 3, 2, 1], [4, 6, 2, 1], [0.5, 0.5, 0.5, 0.5]])
+    m = models.StateModel(kind, [0.2, 0.3, 0.5], [[0.9, 0.08, 0.02], [0.05, 0.9, 0.05], [0.01, 0.04, 0.95]], means, None if kind == "poisson" else np.array([np.eye(4) * 4] * 3))
+    rows, want = [], {}
+    for r, n in enumerate((1, 6, 7, 8, 14, 15, 100)):
+        x = rng.poisson(means[rng.integers(3, size=n)]).astype(float)
+        post, _, _ = m.forward_backward(x)
+        start = 1000 * r + 7
+        rows += [("c", start, start + 10 * n, start + 10 * (i + 1), *map(float, v)) for i, v in enumerate(x)]
+        want |= {start + 10 * (i + 1): [p[m.labels()[s]] for s in ("open", "nuc", "bg")] for i, p in enumerate(post)}
+    bins = spark.createDataFrame(rows, "chrom string, start long, end long, bin_end long, short double, mono double, di double, tri double")
+    got = models.decode_states(bins, m, 7).collect()
+    assert len(got) == len(want)
+    for g in got:
+        assert [g["p_open"], g["p_nuc"], g["p_bg"]] == pytest.approx(want[g["bin_end"]], abs=1e-9)
+    assert models.decode_states(bins.limit(0), m).count() == 0
+
+
 def test_shapes(spark):
     xs = np.arange(600)
     y = 100 * np.exp(-((xs - 200) ** 2) / 5000) + 80 * np.exp(-((xs - 420) ** 2) / 5000)
@@ -155,6 +183,9 @@ def test_fragment_size(spark):
     df = spark.createDataFrame(tags, "chrom string, pos int, strand int")
     got = models.strand_model(df, 3_000_000, bandwidth=150, mfold=(2, 100), least_pairs=50)
     assert abs(got["d"] - 120) <= 10
+    curves = models.model_table(spark, got)
+    assert curves.where("curve = 'correlation'").orderBy(F.col("value").desc()).first()["offset"] == got["d"]
+    assert curves.where("curve = 'plus'").agg(F.min("offset"), F.max("offset")).first()[:] == (-305, 305)
 
 
 def test_interval_stream(spark, tmp_path):

@@ -1,4 +1,7 @@
-"""Literal fixtures of coverage, step algebra, statistics and scores."""
+"""Coverage, step algebra, statistics and scores.
+
+Fixed values: the literal numbers of this file are published results that must come out; they are stated as they are.
+"""
 
 import math
 import random

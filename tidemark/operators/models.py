@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import intervals, peaks, pileup, step, tracks
 from tidemark.operators.ordered import along
+from tidemark.plans.tables import stage
 
 
 class NotEnoughPairs(ValueError):
@@ -62,7 +64,13 @@ def strand_model(tags: DataFrame, genome_size: float, bandwidth: int = 300, mfol
     tops.sort(key=lambda i: -y[i])
     if not tops:
         raise NotEnoughPairs("no offset above the least fragment size")
-    return {"d": int(lags[tops[0]]), "alternatives": sorted(int(lags[i]) for i in tops), "pairs": n, "plus": lines[0].tolist(), "minus": lines[1].tolist()}
+    return {"d": int(lags[tops[0]]), "alternatives": sorted(int(lags[i]) for i in tops), "pairs": n, "plus": lines[0].tolist(), "minus": lines[1].tolist(), "correlation": y.tolist()}
+
+
+def model_table(spark: SparkSession, model: dict) -> DataFrame:
+    """``(curve, offset, value)``: what the plots of a model show, the tags of both strands around the centres and their correlation by offset."""
+    rows = [(name, k - len(model[name]) // 2, float(v)) for name in ("plus", "minus", "correlation") for k, v in enumerate(model[name])]
+    return spark.createDataFrame(rows, "curve string, offset int, value double")
 
 
 def mixture(frags: DataFrame, means=(50, 200, 400, 600), stddevs=(20, 20, 20, 20), share: float = 0.1, jump: float = 1.5, epsilon: float = 0.05, rounds: int = 20, seed: int = 0) -> tuple[list[float], list[float]]:
@@ -216,16 +224,89 @@ def train_states(x: np.ndarray, lengths: list[int], kind: str = "gaussian", stat
     return m
 
 
-def decode_states(bins: DataFrame, model: StateModel) -> DataFrame:
-    """``(chrom, start, end, bin_end, p_open, p_nuc, p_bg)``: posteriors of each region's bins, one region per call."""
-    label = model.labels()
+#: Bins of a region that are decoded at a time; what stands on both sides of them enters as one vector each.
+CHUNK = 512
+#: Chunks that a worker takes through the model side by side.
+SIDE_BY_SIDE = 256
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(x.sum(-1, keepdims=True), 1e-300)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin_end")
-        post, _, _ = model.forward_backward(pdf[CLASSES].to_numpy(float))
-        return pdf[["chrom", "start", "end", "bin_end"]].assign(**{f"p_{n}": post[:, k] for n, k in label.items()})[["chrom", "start", "end", "bin_end", "p_open", "p_nuc", "p_bg"]]
 
-    return bins.groupBy("chrom", "start", "end").applyInPandas(one, "chrom string, start long, end long, bin_end long, p_open double, p_nuc double, p_bg double")
+def _blocks(pdf: pd.DataFrame, model: StateModel) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Some chunks at a time: their rows, which bins each has, and emissions (chunk, bin, state), the greatest of a bin 1."""
+    for at in range(0, len(pdf), SIDE_BY_SIDE):
+        rows = pdf.iloc[at : at + SIDE_BY_SIDE]
+        sizes = rows["n"].to_numpy()
+        held = np.arange(sizes.max()) < sizes[:, None]
+        logb = model.log_emission(np.concatenate(rows["x"].to_list()).reshape(-1, len(CLASSES)))
+        b = np.ones((*held.shape, logb.shape[1]))
+        b[held] = np.exp(logb - logb.max(1, keepdims=True))
+        yield rows, held, b
+
+
+def decode_states(bins: DataFrame, model: StateModel, chunk: int = CHUNK) -> DataFrame:
+    """``(chrom, start, end, bin_end, p_open, p_nuc, p_bg)``: posteriors of each region's bins; a region's bins are one sequence.
+
+    A long region is cut into chunks of its bins, which stand at equal distances. What a chunk does to a distribution over
+    the states is a small matrix; one such row per chunk meets in a task per region, where the vectors that enter each
+    chunk from both sides are multiplied up. Then every chunk is decoded on its own, many side by side, as it is in the
+    whole sequence.
+    """
+    label, region, k = model.labels(), ["chrom", "start", "end"], len(model.start)
+    span = bins.groupBy(*region).agg(F.min("bin_end").alias("_a"), F.max("bin_end").alias("_b"), F.count("*").alias("_n"))
+    step = F.when(F.col("_n") > 1, (F.col("_b") - F.col("_a")) / (F.col("_n") - 1)).otherwise(F.lit(1.0))
+    placed = bins.join(span, region).withColumn("c", F.floor((F.col("bin_end") - F.col("_a")) / F.greatest(step, F.lit(1e-9)) / chunk).cast("int"))
+    held = F.sort_array(F.collect_list(F.struct("bin_end", F.array(*(F.col(c).cast("double") for c in CLASSES)).alias("v")))).alias("h")
+    chunks = placed.groupBy(*region, "c").agg(held).select(*region, "c", F.size("h").alias("n"), F.col("h.bin_end").alias("at"), F.flatten("h.v").alias("x"))
+    chunks = stage(chunks, "state-chunks")
+
+    def effect(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The matrix of every chunk; that of a region's first one leads from anywhere to what the start makes of it."""
+        for pdf in parts:
+            out = []
+            for rows, held, b in _blocks(pdf, model):
+                first = (rows["c"].to_numpy() == 0)[:, None, None]
+                m = np.broadcast_to(np.eye(k), (len(rows), k, k))
+                for t in range(b.shape[1]):
+                    moved = m @ model.trans
+                    moved = (np.where(first, model.start, moved) if t == 0 else moved) * b[:, t, None, :]
+                    m = np.where(held[:, t, None, None], moved / np.maximum(moved.sum((1, 2), keepdims=True), 1e-300), m)
+                out += list(m.reshape(len(rows), -1))
+            yield pdf[[*region, "c"]].assign(m=out)
+
+    def sides(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        m = np.stack(pdf["m"].to_list()).reshape(-1, k, k)
+        before, after = np.full((len(m), k), 1 / k), np.ones((len(m), k))
+        for c in range(1, len(m)):
+            before[c] = _unit(before[c - 1] @ m[c - 1])
+        for c in range(len(m) - 1, 0, -1):
+            after[c - 1] = _unit(m[c] @ after[c])
+        return pdf[[*region, "c"]].assign(before=list(before), after=list(after))
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for rows, held, b in _blocks(pdf, model):
+                first = (rows["c"].to_numpy() == 0)[:, None]
+                alpha, beta = np.empty_like(b), np.empty_like(b)
+                a, z = np.stack(rows["before"].to_list()), np.stack(rows["after"].to_list())
+                for t in range(b.shape[1]):
+                    moved = a @ model.trans
+                    moved = (np.where(first, model.start, moved) if t == 0 else moved) * b[:, t]
+                    a = alpha[:, t] = np.where(held[:, t, None], _unit(moved), a)
+                for t in range(b.shape[1] - 1, -1, -1):
+                    beta[:, t] = z
+                    z = np.where(held[:, t, None], _unit((b[:, t] * z) @ model.trans.T), z)
+                post, n = _unit(alpha * beta)[held], rows["n"].to_numpy()
+                own = {c: np.repeat(rows[c].to_numpy(), n) for c in region} | {"bin_end": np.concatenate(rows["at"].to_list())}
+                yield pd.DataFrame(own | {f"p_{x}": post[:, label[x]] for x in ("open", "nuc", "bg")})
+
+    key = "chrom string, start long, end long, c int"
+    matrices = chunks.select(*region, "c", "n", "x").mapInPandas(effect, f"{key}, m array<double>")
+    vectors = matrices.groupBy(*region).applyInPandas(sides, f"{key}, before array<double>, after array<double>")
+    return chunks.join(vectors, [*region, "c"]).mapInPandas(decode, "chrom string, start long, end long, bin_end long, p_open double, p_nuc double, p_bg double")
 
 
 def state_runs(posteriors: DataFrame, size: int = 10) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, stats
-from tidemark.operators import models, peaks, tracks, variants
+from tidemark.operators import models, peaks, pileup, step, tracks, variants
 from tidemark.plans import commands
 from tidemark.plans import views as V
 from tidemark.plans.tables import table
@@ -108,6 +107,19 @@ add("format_peak_table", _table_back, f'{_NAMED} SELECT chrom, s AS "start", e A
 add("callpeak_by_fold", lambda s, d: _round(_called(s, d, cutoffs={"f": 1.2})["peaks"]).select("chrom", "start", "end", "summit", "pileup", "fc"), f"""{_SCORED}, z AS (SELECT * FROM pq WHERE (v0 + 1) / (v1 + 1) > 1.2), {V.sql_islands("i", "z", 100)}, {V.sql_summits("u", "i", "v0", "v1")}
 SELECT {_BOUNDS}, summit, round(top, 3) AS pileup, round((top + 1) / (v1 + 1), 3) AS fc FROM u WHERE e - s >= 300 AND (top + 1) / (v1 + 1) >= 1.2""")
 
+# Broad calls as lines: the name, the score as a whole number, blocks with one base where no strong region reaches an end.
+_BROAD_LINES = SQL["callpeak_broad"].split("SELECT chrom, s AS \"start\"")[0].rsplit("n AS (SELECT s2.chrom", 1)[0] + f"""
+n AS (SELECT s2.chrom, s2.s, s2.e, round(any_value(a), 3) AS a, round(any_value(b), 3) AS b, round(any_value(c), 3) AS c, round(any_value(m), 3) AS m, any_value(b) AS fc, list({{'o': s1.s - s2.s, 'n': s1.e - s1.s}} ORDER BY s1.s) FILTER (s1.s IS NOT NULL) AS k, min(s1.s) AS ts, max(s1.e) AS te
+  FROM s2 LEFT JOIN s1 ON s1.chrom = s2.chrom AND s1.s >= s2.s AND s1.e <= s2.e WHERE s2.chrom IN (SELECT chrom FROM s1) GROUP BY s2.chrom, s2.s, s2.e),
+o AS (SELECT *, 'peak_' || row_number() OVER (ORDER BY chrom, s) AS name, list_concat(CASE WHEN ts IS NULL OR ts > s THEN [{{'o': 0, 'n': 1}}] ELSE [] END, coalesce(k, []), CASE WHEN te IS NULL OR te < e THEN [{{'o': e - s - 1, 'n': 1}}] ELSE [] END) AS bl FROM n WHERE fc >= 1)"""
+_LEAD = "chrom, s, e, name, CAST(trunc(10 * m) AS INT), '.'"
+_TRIPLE = "format('{:.6g}', b), format('{:.6g}', c), format('{:.6g}', m)"
+_BED12 = f"{_LEAD}, coalesce(ts, 0), coalesce(te, 0), '0', len(bl), array_to_string(list_transform(bl, lambda x: x.n), ','), array_to_string(list_transform(bl, lambda x: x.o), ',')"
+_broad = lambda s, d: sinks.named(_round(_called(s, d, broad=True, broad_cutoff=0.1)["peaks"]).withColumn("summit", F.lit(None).cast("bigint")))
+add("sink_broad_peak", lambda s, d: sinks.broad_peak(_broad(s, d)), f"{_BROAD_LINES} SELECT concat_ws('\t', {_LEAD}, {_TRIPLE}) AS value FROM o")
+add("sink_gapped_peak", lambda s, d: sinks.gapped_peak(_broad(s, d)), f"{_BROAD_LINES} SELECT concat_ws('\t', {_BED12}, {_TRIPLE}) AS value FROM o")
+add("sink_bed12", lambda s, d: sinks.bed12(_broad(s, d), "qscore"), f"{_BROAD_LINES} SELECT concat_ws('\t', {_BED12}) AS value FROM o")
+
 # Smaller commands.
 _DEPTHS = "(SELECT count(*) FROM tt) AS t, (SELECT count(*) FROM tc) AS c"
 
@@ -135,6 +147,19 @@ def _sampled(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("randsample_rows", _sampled, f"WITH {V.FRAGS} SELECT chrom, n, n AS n_distinct, n AS n_known, n AS n_again, true AS seed_matters FROM (SELECT chrom, CAST(floor(count(*) * 0.25) AS BIGINT) AS n FROM f GROUP BY chrom) WHERE n > 0")
+add("randsample_number", lambda s, d: commands.randsample(V.fragments(s, d), number=5000).groupBy("chrom").agg(F.count("*").alias("n")), f"WITH {V.FRAGS}, t AS (SELECT count(*) AS t FROM f) SELECT chrom, n FROM (SELECT chrom, CAST(floor(round(count(*) * (5000 / any_value(t)), 5)) AS BIGINT) AS n FROM f, t GROUP BY chrom) WHERE n > 0")
+add(
+    "pick_peaks",
+    lambda s, d: tracks.pick(V.regions(s, d), 100, 7).join(V.regions(s, d), ["peak_id", "run_id", "chrom", "start", "end"]).agg(F.count("*").alias("n"), F.countDistinct("peak_id", "chrom", "start").alias("n_distinct")),
+    "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS n_distinct",
+)
+add("concatenated_tags", lambda s, d: commands.pileup_track(pileup.union_all([V.tags_treat(s, d), V.tags_ctrl(s, d)]), 3000), f'WITH {V.TREAT}, {V.CTRL}, bo AS (SELECT * FROM tt UNION ALL SELECT * FROM tc), {V.sql_tag_intervals("bi", "bo", 3000)}, {V.sql_pileup("a", "bi")} SELECT {_BOUNDS}, v AS value FROM a')
+add(
+    "cutoff_elbows",
+    lambda s, d: step.elbows(s.createDataFrame([tuple(r) for r in commands.bdgpeakcall(V.signal_a(s, d), 0, 500, 300, [float(x) for x in range(10, 44, 3)]).select("cutoff", "npeaks").collect()], "cutoff double, value long"), 50.0),
+    f"""WITH {V.SIGNAL_A}, k AS (SELECT cutoff, chrom, s, e FROM a, (SELECT unnest(range(10, 44, 3)) AS cutoff) WHERE v > cutoff), {V.sql_islands("i", "k", 300, "cutoff, chrom")}, n AS (SELECT cutoff, max(e) - min(s) AS len FROM i GROUP BY cutoff, chrom, g HAVING max(e) - min(s) >= 500),
+t AS (SELECT CAST(cutoff AS DOUBLE) AS cutoff, count(*) AS value FROM n GROUP BY cutoff), u AS (SELECT *, value - lag(value) OVER (ORDER BY cutoff) AS d FROM t), w AS (SELECT *, abs(d - lag(d) OVER (ORDER BY cutoff)) AS c FROM u) SELECT cutoff, value FROM w WHERE c > 50""",
+)
 add("predictd_fragments", lambda s, d: s.createDataFrame([(round(commands.predictd(V.fragments(s, d).select("chrom", "l", "r"))["d"], 5),)], "d double"), f"WITH {V.FRAGS} SELECT round(sum(r - l) / count(*), 5) AS d FROM f")
 add("pileup_command", lambda s, d: commands.pileup_track(V.tags_treat(s, d), 1500, both=True), f'WITH {V.TREAT}, {V.sql_tag_intervals("ti", "tt", 3000, directional=False)}, {V.sql_pileup("a", "ti")} SELECT {_BOUNDS}, v AS value FROM a')
 
@@ -168,11 +193,7 @@ def _reads(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(F.col("line_id").cast("string").alias("name"), "chrom", "pos", (F.col("strand") * 16).cast("int").alias("flag"), F.concat(n, F.lit("M")).alias("cigar"), "seq", F.encode("q", "UTF-8").alias("qual"), n.alias("md"))
 
 
-@functools.cache
-def _bases_sql() -> str:
-    from tidemark.plans.catalogue import P5_LOADED_SQL
-
-    return f"""WITH good AS ({P5_LOADED_SQL}), rd AS (SELECT g.chrom, g.pos, g.strand, string_split(raw_line, '\t')[9] AS seq, string_split(raw_line, '\t')[10] AS q FROM good AS g JOIN export_lines USING (line_id) WHERE g.pos IS NOT NULL AND NOT contains(raw_line, '"')),
+_BASES = f"""WITH good AS ({V.P5_LOADED_SQL}), rd AS (SELECT g.chrom, g.pos, g.strand, string_split(raw_line, '\t')[9] AS seq, string_split(raw_line, '\t')[10] AS q FROM good AS g JOIN export_lines USING (line_id) WHERE g.pos IS NOT NULL AND NOT contains(raw_line, '"')),
 o AS (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM rd), b AS (SELECT chrom, CAST(pos + i - 1 AS BIGINT) AS pos, seq[i] AS allele, ascii(q[i]) AS bq, strand, i = 1 OR i = length(seq) AS tip FROM o WHERE ascii(q[i]) > 66)"""
 
 
@@ -185,9 +206,8 @@ def top_alleles(spark: SparkSession, d: str) -> DataFrame:
     return variants.top_alleles(variants.pile(variants.bases(_reads(spark, d), 66).withColumn("ref", F.lit("N")))).select("chrom", "pos", "allele", "n", F.col("rank").cast("int").alias("rank"))
 
 
-def _register_alleles() -> None:
-    add("allele_piles", allele_piles, f"{_bases_sql()} SELECT chrom, pos, allele, count(*) AS n, CAST(sum(1 - strand) AS BIGINT) AS n_plus, CAST(sum(CASE WHEN tip THEN 1 ELSE 0 END) AS BIGINT) AS n_tip, CAST(sum(bq) AS BIGINT) AS quality FROM b GROUP BY chrom, pos, allele")
-    add("top_alleles", top_alleles, f"{_bases_sql()}, n AS (SELECT chrom, pos, allele, count(*) AS n FROM b GROUP BY chrom, pos, allele), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY chrom, pos ORDER BY n DESC, allele) AS INT) AS rank FROM n) SELECT chrom, pos, allele, n, rank FROM k WHERE rank <= 2")
+add("allele_piles", allele_piles, f"{_BASES} SELECT chrom, pos, allele, count(*) AS n, CAST(sum(1 - strand) AS BIGINT) AS n_plus, CAST(sum(CASE WHEN tip THEN 1 ELSE 0 END) AS BIGINT) AS n_tip, CAST(sum(bq) AS BIGINT) AS quality FROM b GROUP BY chrom, pos, allele")
+add("top_alleles", top_alleles, f"{_BASES}, n AS (SELECT chrom, pos, allele, count(*) AS n FROM b GROUP BY chrom, pos, allele), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY chrom, pos ORDER BY n DESC, allele) AS INT) AS rank FROM n) SELECT chrom, pos, allele, n, rank FROM k WHERE rank <= 2")
 
 
 # Distributions over the distinct values of the tables.
@@ -232,3 +252,25 @@ add(
     f"WITH {V.FRAGS}, n AS (SELECT DISTINCT CAST(r - l AS INT) AS len FROM f), d AS (SELECT len, {', '.join(f'{_dens(m, s)} AS {c}' for c, (m, s) in _DENS.items())} FROM n) SELECT len, {', '.join(f'round(CASE WHEN greatest(short, mono, di, tri) < 0.001 THEN 0.0 ELSE {c} / (short + mono + di + tri) END, 6) AS {c}' for c in _DENS)} FROM d",
 )
 add("peaks_kept", lambda s, d: peaks.keep(table(s, d, "peaks").where("score is not null and fc is not null and not isnan(score) and not isnan(fc)"), score=50.0, fc=(2.0, 20.0)).select("peak_id", "score", "fc", "loaded_at").drop("loaded_at"), "SELECT peak_id, score, fc FROM peaks WHERE score >= 50 AND NOT isnan(score) AND NOT isnan(fc) AND fc >= 2 AND fc < 20")
+
+
+def frag_em_all(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture of fragment lengths, fitted on all fragments."""
+    means, stddevs = models.mixture(V.fragments(spark, d), share=1.0)
+    return spark.createDataFrame(list(zip(models.CLASSES, means, stddevs)), "class string, mean double, stddev double")
+
+
+_CLASS = [f"w{k} * exp(-(x - m{k}) * (x - m{k}) / (2 * s{k} * s{k})) / (s{k} * sqrt(2 * pi()))" for k in range(3)]
+_MASS = lambda k, v: f"sum(CASE WHEN b = {k} THEN {v} ELSE 0 END)"
+_MEANS = [f"CASE WHEN n{k} > 1 THEN m{k} + 1.5 * (x{k} / n{k} - m{k}) ELSE m{k} END" for k in range(3)]
+add(
+    "frag_em_all",
+    frag_em_all,
+    f"""WITH RECURSIVE {V.FRAGS}, h AS MATERIALIZED (SELECT CAST(r - l AS DOUBLE) AS x, count(*) AS n FROM f WHERE r - l BETWEEN 100 AND 1000 GROUP BY r - l),
+st AS (SELECT 0 AS it, 1e9 AS moved, 200.0::DOUBLE AS m0, 400.0::DOUBLE AS m1, 600.0::DOUBLE AS m2, 20.0::DOUBLE AS s0, 20.0::DOUBLE AS s1, 20.0::DOUBLE AS s2, (1.0 / 3)::DOUBLE AS w0, (1.0 / 3)::DOUBLE AS w1, (1.0 / 3)::DOUBLE AS w2
+UNION ALL SELECT it + 1, greatest(abs(a0 - m0), abs(a1 - m1), abs(a2 - m2)), a0, a1, a2, {', '.join(f"CASE WHEN n{k} > 1 THEN greatest(1e-3, s{k} + 1.5 * (sqrt(greatest(0, q{k} / n{k} - (x{k} / n{k}) * (x{k} / n{k}))) - s{k})) ELSE s{k} END" for k in range(3))}, {', '.join(f"CASE WHEN n{k} > 1 THEN n{k} / (n0 + n1 + n2) ELSE w{k} END" for k in range(3))}
+  FROM (SELECT *, {', '.join(f"{e} AS a{k}" for k, e in enumerate(_MEANS))} FROM (SELECT it, moved, m0, m1, m2, s0, s1, s2, w0, w1, w2, {', '.join(f"{_MASS(k, 'n')} AS n{k}, {_MASS(k, 'n * x')} AS x{k}, {_MASS(k, 'n * x * x')} AS q{k}" for k in range(3))}
+    FROM (SELECT st.*, h.x, h.n, CASE WHEN d0 > d1 AND d0 > d2 THEN 0 WHEN d1 > d0 AND d1 > d2 THEN 1 WHEN d2 > d0 AND d2 > d1 THEN 2 END AS b FROM st, h, LATERAL (SELECT {', '.join(f"{e} AS d{k}" for k, e in enumerate(_CLASS))})) WHERE it < 20 AND moved >= 0.05 GROUP BY ALL))),
+z AS (SELECT * FROM st ORDER BY it DESC LIMIT 1)
+SELECT * FROM (SELECT 'short' AS class, 50.0::DOUBLE AS mean, 20.0::DOUBLE AS stddev UNION ALL SELECT 'mono', round(m0, 1), round(s0, 1) FROM z UNION ALL SELECT 'di', round(m1, 1), round(s1, 1) FROM z UNION ALL SELECT 'tri', round(m2, 1), round(s2, 1) FROM z)""",
+)

@@ -50,22 +50,6 @@ SELECT run_id, chrom, 'period' AS kind, CAST(s AS INT) AS seg_start, CAST(e AS I
 UNION ALL SELECT run_id, chrom, 'gap', CAST(e AS INT), CAST(nxt AS INT) FROM n WHERE nxt IS NOT NULL
 """
 
-_P5_CELLS = """
-WITH b AS (SELECT line_id, CASE WHEN ends_with(raw_line, chr(13)) THEN left(raw_line, length(raw_line) - 1) ELSE raw_line END AS body FROM export_lines WHERE raw_line IS NOT NULL),
-k AS (SELECT * FROM b WHERE length(body) > 0 AND NOT starts_with(body, '#')),
-t AS (SELECT line_id, regexp_full_match(body, '(?s)(?:"(?:[^"]|"")*"|[^"\\t][^\\t]*|)(?:\\t(?:"(?:[^"]|"")*"|[^"\\t][^\\t]*|))*') AS sound,
-  list_transform(regexp_extract_all(chr(9) || body, '(?s)\\t("(?:[^"]|"")*"|[^"\\t][^\\t]*|)', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS c FROM k),
-r AS (SELECT line_id, c, CASE WHEN NOT sound THEN 'quoting' WHEN len(c) <> 22 THEN 'columns'
-  WHEN NOT regexp_full_match(c[9], '[ACGTN.]+') THEN 'sequence' WHEN length(c[10]) <> length(c[9]) THEN 'quality'
-  WHEN c[13] <> '' AND trim(c[11], ' ') = '' THEN 'chrom'
-  WHEN c[13] <> '' AND NOT coalesce(regexp_full_match(c[13], '[0-9]{1,10}') AND TRY_CAST(c[13] AS BIGINT) BETWEEN 1 AND 2147483647, false) THEN 'position'
-  WHEN c[13] <> '' AND c[14] NOT IN ('F', 'R') THEN 'strand' WHEN c[22] NOT IN ('Y', 'N') THEN 'filter' END AS reason FROM t)
-"""
-P5_SQL = _P5_CELLS + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL"
-P5_LOADED_SQL = _P5_CELLS + """SELECT line_id, CASE WHEN c[13] <> '' THEN c[11] END AS chrom, CASE WHEN c[13] <> '' THEN CAST(CAST(c[13] AS BIGINT) - 1 AS INT) END AS pos,
-  CASE WHEN c[13] <> '' THEN CAST(c[14] = 'R' AS TINYINT) END AS strand, CAST(length(c[9]) AS INT) AS read_len, c[22] = 'Y' AS passed FROM r WHERE reason IS NULL"""
-
-
 # The engine's own operators.
 
 _ROUND = 5
@@ -352,12 +336,9 @@ _add("hmm_states", hmm_states)
 _add("callpeak_command", lambda s, d: commands.callpeak(V.fragments(s, d).where("barcode is not null").select("chrom", "l", "r"), V.fragments(s, d).where("barcode is null").select("chrom", "l", "r"), genome="hs", q=0.05, keep_dup="all", max_gap=50)["peaks"])
 
 
-calls._register_alleles()
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_loaded": p5_loaded} | QUERIES | calls.QUERIES | formats.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p5_loaded": P5_LOADED_SQL} | SQL | calls.SQL | formats.SQL
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": V.P5_SQL, "p5_loaded": V.P5_LOADED_SQL} | SQL | calls.SQL | formats.SQL

@@ -10,13 +10,13 @@ from tidemark.operators.ordered import along
 from tidemark.operators.tracks import subpeak_letters
 
 
-def write(lines: DataFrame, path: str, header: list[str] | None = None, single: bool = False) -> None:
-    """Lines to a folder of text files; ``header`` lines lead the first. One file only if ``single``."""
+def write(lines: DataFrame, path: str, header: list[str] | None = None, single: bool = False, compression: str = "none") -> None:
+    """Lines to a folder of text files (``gzip`` ones by ``compression``); ``header`` lines lead the first. One file only if ``single``."""
     out = lines.select("value")
     if header:
         top = lines.sparkSession.createDataFrame([(h,) for h in header], "value string").coalesce(1)
         out = top.union(out)
-    (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def _sorted(df: DataFrame, value: Column, *more: str) -> DataFrame:
