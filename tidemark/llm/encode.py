@@ -59,36 +59,46 @@ def sufficient_lookahead(ranks: dict[bytes, int], alphabet: set[int] | None = No
 
 
 @functools.cache
-def class_members(name: str) -> str:
-    """Ranges of the characters of a class (``\\p{L}``, ``\\s``, ...) as the tokenizer library's tables have it, for use in brackets.
+def _members(name: str) -> np.ndarray:
+    """Code points of a class (``\\p{L}``, ``\\s``, ...) as the tokenizer library's tables have it.
 
     Other libraries know other versions of Unicode, which would split some texts elsewhere.
     """
     every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
     one_byte = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    codes = np.frombuffer(bytes(one_byte.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)
-    starts = np.flatnonzero(np.diff(codes, prepend=-2) != 1)
+    return np.frombuffer(bytes(one_byte.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)
+
+
+def class_members(name: str, ascii_only: bool = False) -> str:
+    """Ranges of the characters of a class, for use in brackets; of its ASCII ones, if there are any, or of what no ASCII text holds."""
+    codes = _members(name)
+    codes = (codes[codes < 128] if codes[0] < 128 else codes[-1:]) if ascii_only else codes
+    starts = np.flatnonzero(np.diff(codes.astype(np.int64), prepend=-2) != 1)
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[starts], codes[np.r_[starts[1:] - 1, len(codes) - 1]]))
 
 
 @functools.cache
-def splitter(pattern: str):
-    """The pattern compiled with the library's own classes."""
+def split_patterns(pattern: str) -> tuple[str, str]:
+    """The pattern with the library's own classes, and the same for texts of ASCII, whose small classes are faster."""
     name = re.compile(r"\\[pP]\{\w+\}|\\[sS]")
     bracket = re.compile(r"\[(?:\\[pP]\{\w+\}|\\.|[^\]\\])*\]")
-    inside = bracket.sub(lambda b: name.sub(lambda m: class_members(m[0]), b[0]), pattern)
-    return re.compile(name.sub(lambda m: f"[{class_members(m[0])}]", inside))
+
+    def own(ascii_only: bool) -> str:
+        inside = bracket.sub(lambda b: name.sub(lambda m: class_members(m[0], ascii_only), b[0]), pattern)
+        return name.sub(lambda m: f"[{class_members(m[0], ascii_only)}]", inside)
+
+    return own(False), own(True)
 
 
 class Merges:
     """Which tokens may stand side by side, and which bytes end a token."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, name: str = "own"):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, name: str = "own", patterns: tuple[str, str] | None = None):
         self.ranks, self.bytes = ranks, {i: t for t, i in ranks.items()}
         self.encoding = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.longest = max(map(len, ranks))
         self.suffixes = {t[k:] for t in ranks for k in range(len(t))}
-        self.split = splitter(pattern)
+        self._any, self._ascii = map(re.compile, patterns or split_patterns(pattern))
         #: Other patterns than the public tokenizers' are matched on whole texts.
         self.after = PATTERN_LOOKAHEAD if public_tokenizers and pattern == public_tokenizers.PATTERN else None
         self.known = _Known(self)
@@ -98,6 +108,9 @@ class Merges:
     def lookahead(self) -> int:
         return sufficient_lookahead(self.ranks)
 
+    def split(self, text: str) -> list[str]:
+        return (self._ascii if text.isascii() else self._any).findall(text)
+
     def fit(self, a: int, b: int) -> bool:
         got = self._fit.get((a, b))
         if got is None:
@@ -213,7 +226,7 @@ class Transducer:
         self.held += text
         if self.m.after is None or len(self.held) <= self.chunk:
             return []
-        pieces = self.m.split.findall(self.held)
+        pieces = self.m.split(self.held)
         n = end = len(self.held)
         k = len(pieces)
         while k and end > n - self.m.after:  # the ends of these may still move
@@ -231,7 +244,7 @@ class Transducer:
         return out
 
     def finish(self) -> list[int]:
-        out = self._ids(self.m.split.findall(self.held))
+        out = self._ids(self.m.split(self.held))
         self.held = ""
         return out
 
@@ -263,18 +276,19 @@ class Decoder:
 _LOADED: dict[tuple, Merges] = {}
 
 
-def _merges(data: bytes, pattern: str) -> Merges:
-    """One per Python worker."""
+def _merges(data: bytes, pattern: str, patterns: tuple[str, str]) -> Merges:
+    """One per Python worker; the split patterns come from the driver."""
     key = (len(data), hash(data), pattern)
     if key not in _LOADED:
-        _LOADED[key] = Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, pattern)
+        _LOADED[key] = Merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}, pattern, patterns=patterns)
     return _LOADED[key]
 
 
 def _vocabulary_on(df: DataFrame, path: str | None, pattern: str | None):
     with open(path or default_path(), "rb") as f:
         data = f.read()  # a vocabulary file: its size does not grow with the corpus
-    return df.sparkSession.sparkContext.broadcast(data), pattern or public_tokenizers.PATTERN
+    pattern = pattern or public_tokenizers.PATTERN
+    return df.sparkSession.sparkContext.broadcast(data), pattern, split_patterns(pattern)
 
 
 def encode(df: DataFrame, ident: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -283,10 +297,10 @@ def encode(df: DataFrame, ident: str = "doc_id", text: str = "text", path: str |
     The strings of special tokens in a text are ordinary text. Empty and null texts have the empty list. ``path`` is a
     ``.tiktoken`` vocabulary, ``pattern`` its pre-tokenizer's; without them the byte-level one of 50k entries is taken.
     """
-    data, pattern = _vocabulary_on(df, path, pattern)
+    data, *how = _vocabulary_on(df, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(_merges(data.value, pattern))
+        t = Transducer(_merges(data.value, *how))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -300,10 +314,10 @@ def encode(df: DataFrame, ident: str = "doc_id", text: str = "text", path: str |
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``(keep, n_tokens)``: the size of every text in tokens; 0 for empty and null texts."""
-    data, pattern = _vocabulary_on(df, path, pattern)
+    data, *how = _vocabulary_on(df, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(_merges(data.value, pattern))
+        t = Transducer(_merges(data.value, *how))
         for batch in batches:
             sizes = pa.array([sum(map(len, t.parts(x))) if x else 0 for x in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), sizes], names=[*keep, "n_tokens"])
@@ -314,10 +328,10 @@ def count_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str |
 
 def decode(df: DataFrame, ident: str = "doc_id", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``(ident, text)`` back from ids; a null list gives null, bytes that are no text give replacement characters."""
-    data, pattern = _vocabulary_on(df, path, pattern)
+    data, *how = _vocabulary_on(df, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _merges(data.value, pattern)
+        m = _merges(data.value, *how)
         for batch in batches:
             texts = pa.array([None if x is None else Decoder(m).decode(x) for x in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=[ident, "text"])
