@@ -276,15 +276,19 @@ def decode_states(bins: DataFrame, model: StateModel, chunk: int = CHUNK) -> Dat
                 out += list(m.reshape(len(rows), -1))
             yield pdf[[*region, "c"]].assign(m=out)
 
-    def sides(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        m = np.stack(pdf["m"].to_list()).reshape(-1, k, k)
-        before, after = np.full((len(m), k), 1 / k), np.ones((len(m), k))
-        for c in range(1, len(m)):
-            before[c] = _unit(before[c - 1] @ m[c - 1])
-        for c in range(len(m) - 1, 0, -1):
-            after[c - 1] = _unit(m[c] @ after[c])
-        return pdf[[*region, "c"]].assign(before=list(before), after=list(after))
+    def sides(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of every region the vectors that enter each chunk."""
+        for pdf in parts:
+            out = []
+            for chrom, start, end, at, flat in pdf[[*region, "c", "m"]].itertuples(index=False):
+                m = np.asarray(flat).reshape(-1, k, k)
+                before, after = np.full((len(m), k), 1 / k), np.ones((len(m), k))
+                for c in range(1, len(m)):
+                    before[c] = _unit(before[c - 1] @ m[c - 1])
+                for c in range(len(m) - 1, 0, -1):
+                    after[c - 1] = _unit(m[c] @ after[c])
+                out += zip([chrom] * len(m), [start] * len(m), [end] * len(m), at, before, after)
+            yield pd.DataFrame(out, columns=[*region, "c", "before", "after"])
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -305,7 +309,9 @@ def decode_states(bins: DataFrame, model: StateModel, chunk: int = CHUNK) -> Dat
 
     key = "chrom string, start long, end long, c int"
     matrices = chunks.select(*region, "c", "n", "x").mapInPandas(effect, f"{key}, m array<double>")
-    vectors = matrices.groupBy(*region).applyInPandas(sides, f"{key}, before array<double>, after array<double>")
+    held = F.sort_array(F.collect_list(F.struct("c", "m"))).alias("h")
+    rows = matrices.groupBy(*region).agg(held).select(*region, F.col("h.c").alias("c"), F.flatten("h.m").alias("m"))
+    vectors = rows.mapInPandas(sides, f"{key}, before array<double>, after array<double>")
     return chunks.join(vectors, [*region, "c"]).mapInPandas(decode, "chrom string, start long, end long, bin_end long, p_open double, p_nuc double, p_bg double")
 
 

@@ -42,14 +42,18 @@ def _called(spark: SparkSession, d: str, **more) -> dict[str, DataFrame]:
     return commands.callpeak(V.tags_treat(spark, d), V.tags_ctrl(spark, d), **(_CALL | more))
 
 
+def _cells_sql(windows: list[str], bg: str) -> str:
+    """CTEs that define ``x`` (treatment v0 beside the greatest of the windows v1) from ``t`` and the windows' pileups."""
+    ends = " UNION ".join(f"SELECT chrom, s AS p FROM {t} UNION SELECT chrom, e FROM {t}" for t in ("t", *windows))
+    joins = " ".join(f"ASOF LEFT JOIN {n} ON c.chrom = {n}.chrom AND c.s >= {n}.s" for n in windows)
+    back = ", ".join(f"CASE WHEN {n}.e >= c.e THEN {n}.v ELSE {bg} END" for n in windows)
+    return f"""bp AS ({ends}), c AS MATERIALIZED (SELECT chrom, p AS s, lead(p) OVER (PARTITION BY chrom ORDER BY p) AS e FROM bp),
+x AS MATERIALIZED (SELECT c.chrom, c.s, c.e, t.v AS v0, greatest({back}) AS v1 FROM c ASOF JOIN t ON c.chrom = t.chrom AND c.s >= t.s {joins} WHERE t.e >= c.e)"""
+
+
 def _windows_sql() -> str:
     parts = [f"{V.sql_tag_intervals(f'i{n}', 'tc', w, directional=False)}, {V.sql_pileup(n, f'i{n}', value=f'greatest(round(v, 9) * {k} * {_RATIO}, {_BG})')}" for n, (w, k) in _WINDOWS.items()]
-    ends = " UNION ".join(f"SELECT chrom, s AS p FROM {t} UNION SELECT chrom, e FROM {t}" for t in ("t", *_WINDOWS))
-    joins = " ".join(f"ASOF LEFT JOIN {n} ON c.chrom = {n}.chrom AND c.s >= {n}.s" for n in _WINDOWS)
-    back = ", ".join(f"CASE WHEN {n}.e >= c.e THEN {n}.v ELSE {_BG} END" for n in _WINDOWS)
-    return f"""{V.TREAT}, {V.CTRL}, {V.sql_tag_intervals("ti", "tt", _D)}, {V.sql_pileup("t", "ti")}, {", ".join(parts)},
-bp AS ({ends}), c AS MATERIALIZED (SELECT chrom, p AS s, lead(p) OVER (PARTITION BY chrom ORDER BY p) AS e FROM bp),
-x AS MATERIALIZED (SELECT c.chrom, c.s, c.e, t.v AS v0, greatest({back}) AS v1 FROM c ASOF JOIN t ON c.chrom = t.chrom AND c.s >= t.s {joins} WHERE t.e >= c.e)"""
+    return f"""{V.TREAT}, {V.CTRL}, {V.sql_tag_intervals("ti", "tt", _D)}, {V.sql_pileup("t", "ti")}, {", ".join(parts)}, {_cells_sql(list(_WINDOWS), _BG)}"""
 
 
 # Terms of the tail from k + 1 up, and how many of them count: the first to raise the logarithm by less than 1e-5 is the last.
@@ -107,6 +111,22 @@ add("format_peak_table", _table_back, f'{_NAMED} SELECT chrom, s AS "start", e A
 add("callpeak_by_fold", lambda s, d: _round(_called(s, d, cutoffs={"f": 1.2})["peaks"]).select("chrom", "start", "end", "summit", "pileup", "fc"), f"""{_SCORED}, z AS (SELECT * FROM pq WHERE (v0 + 1) / (v1 + 1) > 1.2), {V.sql_islands("i", "z", 100)}, {V.sql_summits("u", "i", "v0", "v1")}
 SELECT {_BOUNDS}, summit, round(top, 3) AS pileup, round((top + 1) / (v1 + 1), 3) AS fc FROM u WHERE e - s >= 300 AND (top + 1) / (v1 + 1) >= 1.2""")
 
+# Fragments of cells against those of bulk runs: sizes and scales come from the totals, control windows stand around both ends.
+_PAR = """par AS MATERIALIZED (SELECT *, CASE WHEN larger THEN 1 / r ELSE 1.0 END AS ts, CASE WHEN larger THEN cs ELSE tl END / 2913022398 AS bg, CASE WHEN larger THEN 1.0 ELSE r END AS k FROM
+  (SELECT CAST(floor(tl / tn) AS BIGINT) AS d, tl, 2 * cl AS cs, tl / (2 * cl) AS r, tn > 2 * cn AS larger FROM (SELECT sum(r - l) FILTER (barcode IS NOT NULL) AS tl, count(*) FILTER (barcode IS NOT NULL) AS tn, sum(r - l) FILTER (barcode IS NULL) AS cl, count(*) FILTER (barcode IS NULL) AS cn FROM f)))"""
+_ENDS = {"w0": ("(SELECT d FROM par)", "k"), "w1": ("1000", "k * d / 1000"), "w2": ("10000", "k * d / 10000")}
+_FRAG_CELLS = ", ".join(
+    [V.FRAGS, _PAR, V.sql_pileup("t", "f", value="v * (SELECT ts FROM par)", where="barcode IS NOT NULL"), "pe AS (SELECT chrom, l AS p FROM f WHERE barcode IS NULL UNION ALL SELECT chrom, r FROM f WHERE barcode IS NULL)"]
+    + [f"g{n} AS (SELECT chrom, greatest(p - {w} // 2, 0) AS l, p + {w} // 2 AS r FROM pe), {V.sql_pileup(n, f'g{n}', value=f'greatest(v * (SELECT {k} FROM par), (SELECT bg FROM par))')}" for n, (w, k) in _ENDS.items()]
+    + [_cells_sql(list(_ENDS), "(SELECT bg FROM par)"), _PQ]
+)
+add(
+    "callpeak_command",
+    lambda s, d: _round(commands.callpeak(V.fragments(s, d).where("barcode is not null").select("chrom", "l", "r"), V.fragments(s, d).where("barcode is null").select("chrom", "l", "r"), genome="hs", q=0.05, keep_dup="all", max_gap=50)["peaks"]),
+    f"""WITH {_FRAG_CELLS}, z AS (SELECT * FROM pq WHERE q > {-math.log10(0.05)}), {V.sql_islands("i", "z", 50)}, {V.sql_summits("u", "i", "v0", "v1, p, q")}
+SELECT {_BOUNDS}, summit, round(top, 3) AS pileup, round((top + 1) / (v1 + 1), 3) AS fc, round(p, 3) AS pscore, round(q, 3) AS qscore FROM u WHERE e - s >= (SELECT d FROM par) AND q >= {-math.log10(0.05)} AND (top + 1) / (v1 + 1) >= 1""",
+)
+
 # Broad calls as lines: the name, the score as a whole number, blocks with one base where no strong region reaches an end.
 _BROAD_LINES = SQL["callpeak_broad"].split("SELECT chrom, s AS \"start\"")[0].rsplit("n AS (SELECT s2.chrom", 1)[0] + f"""
 n AS (SELECT s2.chrom, s2.s, s2.e, round(any_value(a), 3) AS a, round(any_value(b), 3) AS b, round(any_value(c), 3) AS c, round(any_value(m), 3) AS m, any_value(b) AS fc, list({{'o': s1.s - s2.s, 'n': s1.e - s1.s}} ORDER BY s1.s) FILTER (s1.s IS NOT NULL) AS k, min(s1.s) AS ts, max(s1.e) AS te
@@ -150,7 +170,7 @@ add("randsample_rows", _sampled, f"WITH {V.FRAGS} SELECT chrom, n, n AS n_distin
 add("randsample_number", lambda s, d: commands.randsample(V.fragments(s, d), number=5000).groupBy("chrom").agg(F.count("*").alias("n")), f"WITH {V.FRAGS}, t AS (SELECT count(*) AS t FROM f) SELECT chrom, n FROM (SELECT chrom, CAST(floor(round(count(*) * (5000 / any_value(t)), 5)) AS BIGINT) AS n FROM f, t GROUP BY chrom) WHERE n > 0")
 add(
     "pick_peaks",
-    lambda s, d: tracks.pick(V.regions(s, d), 100, 7).join(V.regions(s, d), ["peak_id", "run_id", "chrom", "start", "end"]).agg(F.count("*").alias("n"), F.countDistinct("peak_id", "chrom", "start").alias("n_distinct")),
+    lambda s, d: tracks.pick(V.regions(s, d), 100, 7).join(V.regions(s, d).select("peak_id"), "peak_id", "left_semi").agg(F.count("*").alias("n"), F.countDistinct(F.struct("peak_id", "run_id", "chrom", "start", "end")).alias("n_distinct")),
     "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS n_distinct",
 )
 add("concatenated_tags", lambda s, d: commands.pileup_track(pileup.union_all([V.tags_treat(s, d), V.tags_ctrl(s, d)]), 3000), f'WITH {V.TREAT}, {V.CTRL}, bo AS (SELECT * FROM tt UNION ALL SELECT * FROM tc), {V.sql_tag_intervals("bi", "bo", 3000)}, {V.sql_pileup("a", "bi")} SELECT {_BOUNDS}, v AS value FROM a')

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import scores
+from tidemark.functions import scores, stats
 from tidemark.operators import coverage, intervals, models, peaks, pileup, qvalue, shapes, skew, step, tracks
 from tidemark.plans import calls, commands, formats
 from tidemark.plans import views as V
-from tidemark.plans.tables import table
-from tidemark.sources import export_lines
+from tidemark.plans.tables import scratch, table
+from tidemark.sources import export_lines, sinks
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -227,12 +227,20 @@ SELECT {_SEG}, summit, top AS pileup, round((top + 1) / (v1 + 1), 3) AS fc, roun
 _DIFF_EXT, _DIFF_CTRL, _DIFF_SCALE, _DIFF_CUT = 300, 3000, 0.05, 1.0
 
 
-def _differential(spark: SparkSession, d: str) -> DataFrame:
-    """Differential regions: tags on both strands as two conditions, each against the control."""
+def _conditions(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Tags on both strands as two conditions, each beside the control."""
     t = V.tags_treat(spark, d)
     one, two = (pileup.pileup_tags(t.where(f"strand = {k}"), _DIFF_EXT) for k in (0, 1))
     b = pileup.pileup_tags(V.tags_ctrl(spark, d), _DIFF_CTRL, directional=False, scale=_DIFF_SCALE, baseline=0.5)
-    return commands.bdgdiff(one, b, two, b, _DIFF_CUT, 50, 20, 10.0, 8.0)
+    return [one, b, two, b]
+
+
+def _differential(spark: SparkSession, d: str) -> DataFrame:
+    return commands.bdgdiff(*_conditions(spark, d), _DIFF_CUT, 50, 20, 10.0, 8.0)
+
+
+def _four(spark: SparkSession, d: str) -> DataFrame:
+    return peaks.differential(*_conditions(spark, d), 10.0, 8.0)
 
 
 _LLR = "CASE WHEN {x} > {y} THEN ({x} * ln({x} / {y}) + {y} - {x}) / ln(10) WHEN {x} < {y} THEN {neg} ELSE 0 END"
@@ -333,7 +341,70 @@ def hmm_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("hmm_states", hmm_states)
-_add("callpeak_command", lambda s, d: commands.callpeak(V.fragments(s, d).where("barcode is not null").select("chrom", "l", "r"), V.fragments(s, d).where("barcode is null").select("chrom", "l", "r"), genome="hs", q=0.05, keep_dup="all", max_gap=50)["peaks"])
+
+
+_add("sink_condition_matrix", lambda s, d: sinks.condition_matrix(_four(s, d)), f"{_DIFF} SELECT printf('%s:%d_%d', chrom, s, e) || printf('\t%.5f\t%.5f\t%.5f', l1, l2, l12) AS value FROM l")
+
+
+def matrix_back(spark: SparkSession, d: str) -> DataFrame:
+    """The entity-by-region matrix, written partitioned by chrom and read."""
+    path = scratch(spark, "matrix")
+    sinks.matrix(intervals.counts_by_entity(V.fragments(spark, d), V.regions(spark, d)), path)
+    return spark.read.parquet(path).select("barcode", "chrom", "start", "end", "cnt")
+
+
+_add("sink_cell_matrix", matrix_back, SQL["cell_by_peak"])
+_add(
+    "pileup_clipped",
+    lambda s, d: pileup.pileup(pileup.clip(V.fragments(s, d).select("chrom", (F.col("l") - 500).alias("l"), (F.col("r") + 500).alias("r")), table(s, d, "chrom_sizes"))),
+    f"""WITH {V.FRAGS}, z AS (SELECT chrom, max(chrom_len) AS n FROM chrom_sizes GROUP BY chrom), g AS (SELECT f.chrom, greatest(least(l - 500, coalesce(n, 2147483647)), 0) AS l, greatest(least(r + 500, coalesce(n, 2147483647)), 0) AS r FROM f LEFT JOIN z ON z.chrom = f.chrom), {V.sql_pileup("a", "g")} SELECT {_SEG}, v AS value FROM a""",
+)
+_add("segment_counts", lambda s, d: V.signal_a(s, d).groupBy("chrom").agg(F.count("*").alias("n")), f"WITH {V.SIGNAL_A} SELECT chrom, count(*) AS n FROM a GROUP BY chrom")
+_STRONG = f"""{V.SIGNAL_A}, k AS (SELECT * FROM a WHERE v > 30), {V.sql_islands("i", "k", 300)}, rg AS (SELECT chrom, min(s) AS s, max(e) AS e FROM i GROUP BY chrom, g HAVING max(e) - min(s) >= 500)"""
+
+
+def _centre_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tags by strand and offset around the middle of strong regions."""
+    middle = _strong(spark, d).select("chrom", F.floor((F.col("start") + F.col("end")) / 2).cast("long").alias("start")).withColumn("end", F.col("start"))
+    hits = intervals.points_in_windows(V.tags_treat(spark, d), middle, 200)
+    return hits.groupBy("strand", (F.col("pos") - F.col("b_start")).cast("int").alias("offset")).agg(F.count("*").alias("n"))
+
+
+_add("centre_counts", _centre_counts, f"WITH {_STRONG} SELECT strand, CAST(pos - (s + e) // 2 AS INT) AS \"offset\", count(*) AS n FROM rg JOIN tt ON tt.chrom = rg.chrom AND abs(pos - (s + e) // 2) <= 200 GROUP BY ALL")
+
+
+def _posteriors(spark: SparkSession, d: str) -> DataFrame:
+    """Bins of strong regions with three weights that follow the signal."""
+    bins = intervals.bins(_strong(spark, d), 100).select("chrom", "bin_end")
+    v = F.col("value") / 60
+    return step.sample_at(V.signal_a(spark, d), bins).select("chrom", "bin_end", (v * v).alias("p_open"), F.lit(0.34).alias("p_nuc"), F.greatest(0.85 - v, F.lit(0.0)).alias("p_bg"))
+
+
+_POST = f"""WITH {_STRONG}, bn AS (SELECT chrom, unnest(range(s // 100 * 100 + 100, e // 100 * 100 + 1, 100)) AS bin_end FROM rg), sv AS (SELECT bn.chrom, bin_end, v / 60 AS v FROM bn ASOF JOIN a ON a.chrom = bn.chrom AND bin_end > a.s),
+y AS (SELECT chrom, bin_end - 100 AS s, bin_end AS e, CASE WHEN v * v >= 0.34 AND v * v >= greatest(0.85::DOUBLE - v, 0) THEN 'open' WHEN 0.34 >= greatest(0.85::DOUBLE - v, 0) THEN 'nuc' ELSE 'bg' END AS v FROM sv), {V.sql_rle("z", "y")}"""
+_add("state_runs", lambda s, d: models.state_runs(_posteriors(s, d), 100), f"{_POST} SELECT {_SEG}, v AS state FROM z")
+_add("sink_state_bed", lambda s, d: sinks.state_bed(models.state_runs(_posteriors(s, d), 100)), f"{_POST} SELECT concat_ws('\t', chrom, s, e, v) AS value FROM z WHERE v <> 'bg'")
+_add(
+    "accessible_runs",
+    lambda s, d: models.accessible(step.rle(V.signal_a(s, d).select("chrom", "start", "end", F.when(F.col("value") >= 28, "open").when(F.col("value") >= 20, "nuc").otherwise("bg").alias("state")), ["state"]), 100),
+    f"""WITH {V.SIGNAL_A}, y AS (SELECT chrom, s, e, CASE WHEN v >= 28 THEN 'open' WHEN v >= 20 THEN 'nuc' ELSE 'bg' END AS v FROM a), {V.sql_rle("z", "y")}, n AS (SELECT *, lag(v) OVER w AS pv, lag(s) OVER w AS ps, lag(e) OVER w AS pe, lead(v) OVER w AS nv, lead(s) OVER w AS ns, lead(e) OVER w AS ne FROM z WINDOW w AS (PARTITION BY chrom ORDER BY s))
+SELECT chrom, ps AS "start", ne AS "end", s AS open_start, e AS open_end FROM n WHERE v = 'open' AND pv = 'nuc' AND nv = 'nuc' AND pe = s AND ns = e AND ne - ps > 100""",
+)
+
+
+def _inverse(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of Poisson and binomial counts over a grid."""
+    rows = [(lam, q, stats.poisson_cdf_inv(q, lam), stats.poisson_sf_inv(q, lam), stats.binomial_cdf_inv(q, 200, lam / 200)) for lam in (0.5, 3.0, 17.5, 60.0) for q in (0.011, 0.123, 0.456, 0.789, 0.987)]
+    return spark.createDataFrame(rows, "lam double, q double, poisson int, poisson_upper int, binomial int")
+
+
+_add(
+    "dist_inverse",
+    _inverse,
+    """WITH g AS (SELECT CAST(lam AS DOUBLE) AS lam, CAST(q AS DOUBLE) AS q FROM (SELECT unnest([0.5, 3.0, 17.5, 60.0]) AS lam), (SELECT unnest([0.011, 0.123, 0.456, 0.789, 0.987]) AS q)), k AS (SELECT lam, q, unnest(range(0, 201)) AS k FROM g),
+c AS (SELECT lam, q, k, sum(exp(k * ln(lam) - lam - lgamma(k + 1))) OVER w AS p, sum(exp(lgamma(201) - lgamma(k + 1) - lgamma(200 - k + 1) + k * ln(lam / 200) + (200 - k) * ln(1 - lam / 200))) OVER w AS b FROM k WINDOW w AS (PARTITION BY lam, q ORDER BY k))
+SELECT lam, q, CAST(min(k) FILTER (p >= q) AS INT) AS poisson, CAST(min(k) FILTER (1 - p <= q) AS INT) AS poisson_upper, CAST(min(k) FILTER (b >= q) AS INT) AS binomial FROM c GROUP BY lam, q""",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
