@@ -20,9 +20,9 @@ service unavailable|too many requests|unauthorized|unavailable for legal reasons
 # customary filler in several languages, and wordings met when reading the test tables.
 PHRASES = """accès refusé|active javascript|aktivieren sie javascript|an error occurred|asdf|bad credentials|blah blah|body copy tbd|come back in a few
 connection refused|connection reset|connection timed out|could not connect|could not read from remote repository|could not resolve host|does not exist any more|down for maintenance
-dummy text|enable javascript|enable js|<error><code>|"errors":|failed to connect|fatal error|gateway timeout|gave no answer|hier steht|hung up|javascript is required|javascript を有効|js switched on|just a moment
+dummy text|enable javascript|enable js|<error><code>|"errors":|failed to connect|fatal error|gateway timeout|gave no answer|hier steht|hung up|is a stand-in|javascript is required|javascript を有効|js switched on|just a moment
 link has run out|lorem ipsum|needs javascript|needs scripts|no healthy upstream|no route to host|oops|operation timed out|página no encontrada|page gone|permission denied (publickey)|placeholder text
-quota exceeded|rate limit exceeded|request blocked|request timed out|requires authentication|sample text|scripting turned off|scripts are blocked|seite nicht gefunden|sign in to continue|log in to see|takedown notice|temporary failure in name resolution
+quota exceeded|rate limit exceeded|replace this text|request blocked|request timed out|requires authentication|sample text|scripting turned off|scripts are blocked|seite nicht gefunden|sign in to continue|log in to see|takedown notice|temporary failure in name resolution
 session has ended|something went wrong|sorry|text text text|text to come|texte provisoire|texto de ejemplo|unable to access|unable to read|upstream connect error|upstream request timeout|veuillez activer|was refused|xxxxxxxx
 write something about|your content here|ошибка сервера|страница не найдена|текст тут будет|включите javascript|请启用|填写内容|页面不存在
 ダミーテキスト|ここにテキスト|ページが見つかりません|여기에 내용을""".replace("\n", "|").split("|")
